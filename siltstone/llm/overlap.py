@@ -158,7 +158,7 @@ def join_postings(post: DataFrame, width: int, least: int, cross: bool) -> DataF
     spread = blocks.select("key", "id", "side", "sig", "x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("y"))
     spread = spread.select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), F.col("x").alias("own"), "id", "side", "sig")
 
-    def blocked(key, table: pa.Table) -> pa.Table:
+    def blocked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.combine_chunks().to_batches()[0]
         ids, sides, own = (np.asarray(t.column(n)) for n in ("id", "side", "own"))
         sigs = _sig_matrix(t.column("sig"), width)

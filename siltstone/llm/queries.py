@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, sites, splits
+from . import crosssplit, lines, neardup, packing, sites, splits, tokenize, visual
 from .common import read, small, written
 
 
@@ -42,6 +42,56 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select(F.col("id").alias("source_ord"), F.col("rep").alias("class_ord"), "links", F.col("first").alias("first_ord"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p4_found, p4_groups)}
+def _cross(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(read(spark, d, "clean_records"), k=3, threshold=0.6)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cross(spark, d).select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and site: records overlapping train, pairs, and mean coverage."""
+    pairs = _cross(spark, d)
+    rec = sites.with_site(read(spark, d, "clean_records").select("record_no", "split", "url"), read(spark, d, "public_suffixes"))
+    each = pairs.groupBy(F.col("b").alias("record_no")).agg(F.count(F.lit(1)).alias("pairs"), F.max("coverage_b").alias("coverage"))
+    return each.join(rec, "record_no").groupBy("split", "site").agg(F.count(F.lit(1)).alias("records"), F.sum("pairs").alias("pairs"), F.avg("coverage").alias("mean_coverage"))
+
+
+def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rec = sites.with_site(read(spark, d, "source_records").select("source_ord", "url", "text", "crawled_at"), read(spark, d, "public_suffixes"))
+    return rec, lines.excessive_lines(rec)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d)[1].select(F.col("id").alias("source_ord"), "line_no")
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return lines.without_lines(*_lines(spark, d))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encoded(read(spark, d, "documents"))
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    sizes = written(tokenize.token_counts(read(spark, d, "documents")), "sizes")
+    return packing.packed(sizes, read(spark, d, "pack_profiles"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packing(spark, d), read(spark, d, "pack_profiles"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual.same_looking_pairs(read(spark, d, "documents"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return visual.forms(read(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}

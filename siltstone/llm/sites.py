@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SCHEME = re.compile(r"^[a-z][a-z0-9+.\-]*://", re.I)
-_OPAQUE = re.compile(r"^[a-z][a-z0-9+\-]*:(?!\d+(?:[/?#]|$))", re.I)
+# Schemes whose urls name no host.
+_HOSTLESS = re.compile(r"^(?:about|blob|cid|data|file|javascript|mailto|mid|news|sms|tel|urn|view-source):", re.I)
 _LABEL = re.compile(r"^[^\W_](?:[\w\-]*[^\W_])?$")
 
 
@@ -25,7 +26,7 @@ def host_of(url: str | None) -> str | None:
         s = s[m.end() :]
     elif s.startswith("//"):
         s = s[2:]
-    elif _OPAQUE.match(s) and "@" not in s.split("/")[0]:
+    elif _HOSTLESS.match(s):
         return None
     s = re.split(r"[/?#\\]", s, maxsplit=1)[0].rpartition("@")[2]
     s = re.sub(r":\d*$", "", s).strip().rstrip(".").lower()
