@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, lines, neardup, packing, sites, splits, tokenize, visual
+from . import crosssplit, lines, neardup, packing, quality, sites, splits, tokenize, visual
 from .common import read, small, written
 
 
@@ -42,6 +42,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select(F.col("id").alias("source_ord"), F.col("rep").alias("class_ord"), "links", F.col("first").alias("first_ord"))
 
 
+def p2_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(read(spark, d, "source_records"), read(spark, d, "common_words"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_stats(spark, d).where("prose_share < 0.5").select("source_ord")
+
+
 def _cross(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.cross_split_pairs(read(spark, d, "clean_records"), k=3, threshold=0.6)
 
@@ -92,6 +100,6 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.forms(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}
