@@ -1,4 +1,6 @@
 """All queries of the engine's own operators, with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpus  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
