@@ -55,8 +55,11 @@ def split_statistics(docs: DataFrame, context: int = 512, by: list[str] | None =
 
 def special_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of each special id by split."""
-    per = [F.sum(F.size(F.filter("tokens", lambda t, i=i: t == i))).alias(k) for k, i in SPECIALS.items()]
-    return docs.groupBy("split").agg(*per)
+
+    def occurrences(i: int):
+        return F.sum(F.size(F.filter("tokens", lambda t: t == i)))
+
+    return docs.groupBy("split").agg(*[occurrences(i).alias(k) for k, i in SPECIALS.items()])
 
 
 def statistics_rollup(docs: DataFrame) -> DataFrame:
@@ -108,9 +111,9 @@ def token_conservation(docs: DataFrame) -> DataFrame:
 def shard_of_position(positions: DataFrame, shards: DataFrame) -> DataFrame:
     """The shard that holds each position of a split's stream; shards are few (storage units) and are sent only if they are."""
     few = F.broadcast(shards) if len(shards.limit(10_001).select("split").take(10_001)) <= 10_000 else shards
-    return positions.join(few, (positions["split"] == few["split"]) & (positions["position"] >= few["start"]) & (positions["position"] < few["start"] + few["tokens"])).select(
-        positions["split"], positions["position"], few["shard_index"], (positions["position"] - few["start"]).alias("local_position")
-    )
+    p, s = positions.alias("p"), few.alias("s")
+    inside = (F.col("p.split") == F.col("s.split")) & (F.col("p.position") >= F.col("s.start")) & (F.col("p.position") < F.col("s.start") + F.col("s.tokens"))
+    return p.join(s, inside).select("p.split", "p.position", "s.shard_index", (F.col("p.position") - F.col("s.start")).alias("local_position"))
 
 
 def global_prefix(docs: DataFrame, by: str, order: str, value: str) -> DataFrame:
