@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX2, MIX3, mix, ship, small, starts, written
+from .common import MIX2, MIX3, mix, ship, small, written
 from .components import connected_components
 from .overlap import join_postings, postings
-from .shingles import distinct_sorted, minhash, set_keys, shingle_hashes, word_hashes
+from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, word_hashes
 
-#: Signature coordinates, and how many of them a pair must share to be checked.  A pair at similarity 0.6 shares 14.4 of
-#: 24 on average; it shares under 7 with probability 0.0004, at 0.65 with 0.0001, at 0.7 with 0.00001.
-COORDINATES, MATCHES = 24, 7
+#: Signature coordinates.  Of each the low half-byte goes along with every posting; the first POSTED ones are posted in full.
+COORDINATES, POSTED = 48, 12
+#: Posted coordinates that a pair must share: a pair at similarity 0.6 shares 7.2 of 12 on average, and under 2 with
+#: probability 0.0003; at 0.65 with 0.00008, at 0.7 with 0.00002.
+MATCHES = 2
+#: Half-bytes of the whole signature that must agree before a pair is checked: under 18 of 48 agree with probability
+#: 0.0001 at similarity 0.6 and 0.000004 at 0.65, but 18 or more with 0.03 at 0.2.
+SIG_MATCHES = 18
 
 
 def set_columns(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,8 +30,9 @@ def set_columns(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray
     return distinct_sorted(*shingle_hashes(h, at, k))
 
 
-def signatures(docs: DataFrame, key: str, text: str, k: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(id, ck binary, n, mh binary): digest and size of the shingle set and its signature; texts under k words give no row."""
+def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, ck binary, elems array<bigint>, sig binary): digest of the shingle set, its posted coordinates with their values,
+    and the half-bytes of all coordinates; texts under k words give no row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,53 +43,36 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, coordinates: int =
             if not len(full):
                 continue
             off = np.append(off[full], off[-1])
-            mh = minhash(s, off, coordinates)
+            mh = minhash(s, off, COORDINATES)
+            e = mix((mh[:, :POSTED].astype(np.uint64) * MIX2) ^ (np.arange(1, POSTED + 1, dtype=np.uint64) * MIX3)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(full)), pa.array(_digests(s, off), pa.binary()), pa.array(np.diff(off).astype(np.int32)), pa.array([x.tobytes() for x in mh], pa.binary())],
-                names=["id", "ck", "n", "mh"],
-            )
+                [
+                    b.column(0).take(pa.array(full)), pa.array(_digests(s, off), pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * POSTED), pa.array(e.ravel())), pa.array([x.tobytes() for x in half_bytes(mh)], pa.binary()),
+                ],
+                names=["id", "ck", "elems", "sig"],
+            )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(sign, "id bigint, ck binary, n int, mh binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(sign, "id bigint, ck binary, elems array<bigint>, sig binary")
 
 
 def _digests(s: np.ndarray, off: np.ndarray) -> list[bytes]:
-    import xxhash
-
     raw = memoryview(np.ascontiguousarray(s)).cast("B")
     o = (off * 8).tolist()
     return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(o, o[1:])]
 
 
-def coordinate_sets(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Class rows (id, side, mh) as element sets: each coordinate with its value is an element; sig has a byte of each."""
-
-    def elems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            k = m.shape[1]
-            e = mix((m.astype(np.uint64) * MIX2) ^ (np.arange(1, k + 1, dtype=np.uint64) * MIX3)).view(np.int64)
-            sig = (m & 0xFF).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), pa.array(e.ravel())), pa.array(np.full(b.num_rows, matches, np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["id", "side", "elems", "need", "sig"],
-            )
-
-    return classes.select("id", "side", "mh").mapInArrow(elems, "id bigint, side tinyint, elems array<bigint>, need int, sig binary")
-
-
 def shingle_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, k: int) -> DataFrame:
-    """(id, sh array<bigint>) of the documents that ids lists."""
+    """(id, sh array<int>) of the documents that ids lists: the upper halves of the shingle hashes, sorted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 s, off = set_columns(b.column(1).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(s.view(np.int64)))], names=["id", "sh"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["id", "sh"])
 
     wanted = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(small(ids, 100_000), "id", "left_semi")
-    return wanted.mapInArrow(sets, "id bigint, sh array<bigint>")
+    return wanted.mapInArrow(sets, "id bigint, sh array<int>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -119,9 +109,8 @@ def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text"
     sig = written(signatures(docs, key, text, k), "signatures")
     reps = sig.groupBy("ck").agg(F.min("id").alias("rep"))
     member = written(sig.select("id", "ck").join(reps, "ck").select("id", "rep"), "members")
-    classes = sig.join(member.where("id = rep").select("id"), "id", "left_semi").select("id", F.lit(0).cast("tinyint").alias("side"), "mh")
-    sets = written(coordinate_sets(classes), "coordinates")
-    pairs = written(join_postings(postings(sets), COORDINATES, MATCHES, cross=False), "candidates")
+    sets = sig.join(member.where("id = rep").select("id"), "id", "left_semi").select("id", F.lit(0).cast("tinyint").alias("side"), "elems", F.lit(MATCHES).alias("need"), "sig")
+    pairs = written(join_postings(postings(sets), COORDINATES // 2, SIG_MATCHES, cross=False), "candidates")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     checked = similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold)
     return member, checked
@@ -136,5 +125,3 @@ def near_duplicate_groups(docs: DataFrame, key: str = "source_ord", text: str =
     info = comp.withColumnRenamed("node", "rep").join(degree, "rep")
     return member.join(small(info, 50_000), "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("first"))
 
-
-_ = (set_keys, starts)

@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from .common import MIX2, mix, starts, written
 
 #: An element in at most this many documents is never called frequent.
-LIGHT = 48
+LIGHT = 256
 #: Bound of the frequent list that is sent to all executors: at most so many elements are in 1 / MOST_FREQUENT of the postings.
 MOST_FREQUENT = 400_000
 #: Lists above this length are cut into blocks of this length.
 BLOCK = 2048
 
+#: How many of its two half-bytes are zero, for each byte.
+_SAME = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], dtype=np.uint8)
+
 POSTING = "key bigint, id bigint, side tinyint, sig binary"
 
 
@@ -93,13 +96,13 @@ def postings(sets: DataFrame, light: int = LIGHT) -> DataFrame:
 
 
 def _matches(ids, sides, sigs, a, b, least: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of the row pairs (a, b) those that agree in at least ``least`` signature bytes and, if cross, lie on both sides."""
+    """Of the row pairs (a, b) those that agree in at least ``least`` signature half-bytes and, if cross, lie on both sides."""
     ok = ids[a] != ids[b]
     if cross:
         x, y = sides[a], sides[b]
         ok &= ((x & 1) & (y >> 1) | (y & 1) & (x >> 1)).astype(bool)
     a, b = a[ok], b[ok]
-    keep = np.count_nonzero(sigs[a] == sigs[b], axis=1) >= least
+    keep = _SAME[sigs[a] ^ sigs[b]].sum(axis=1, dtype=np.int16) >= least
     a, b = ids[a[keep]], ids[b[keep]]
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -110,7 +113,7 @@ def _sig_matrix(col: pa.Array, width: int) -> np.ndarray:
 
 
 def join_postings(post: DataFrame, width: int, least: int, cross: bool) -> DataFrame:
-    """Candidate pairs (a < b), each once, of documents under the same key whose signatures agree in ``least`` bytes.
+    """Candidate pairs (a < b), each once, of documents under the same key whose signatures agree in ``least`` half-bytes.
 
     Rows of one key come to one task in order.  A list of at most BLOCK rows is paired there; longer ones come out again
     as rows and are paired block by block in as many tasks as there are pairs of blocks.
@@ -190,7 +193,7 @@ def _lists(key, ids, sides, sigs, long_key, least: int, cross: bool) -> tuple[li
         if long_key is not None:
             rows_all = rows_all[key[rows_all] != long_key]
         i, j = np.triu_indices(c, 1)
-        step = max(1, 400_000 // len(i))
+        step = max(1, 200_000 // len(i))
         for lo in range(0, len(rows_all), step):
             rows = rows_all[lo : lo + step, None] + np.arange(c)
             found.append(_matches(ids, sides, sigs, rows[:, i].ravel(), rows[:, j].ravel(), least, cross))

@@ -73,12 +73,6 @@ def _offsets(keep: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off]
 
 
-def set_keys(s: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """128-bit digest of each sorted set, as two 64-bit columns folded into bytes."""
-    raw = s.astype("<u8").tobytes()
-    return np.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], dtype="S16") if len(off) > 1 else np.zeros(0, "S16")
-
-
 def minhash(s: np.ndarray, off: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """k signature coordinates (32 bits) of each non-empty set."""
     rng = np.random.default_rng(seed)
@@ -93,6 +87,12 @@ def minhash(s: np.ndarray, off: np.ndarray, k: int, seed: int = 1) -> np.ndarray
     return out
 
 
+def half_bytes(mh: np.ndarray) -> np.ndarray:
+    """Signature with the low half-byte of each coordinate, two to a byte."""
+    low = (mh & 15).astype(np.uint8)
+    return low[:, 0::2] << 4 | low[:, 1::2]
+
+
 def winnow(s: np.ndarray, off: np.ndarray, w: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Winnowed fingerprints: the least hash of every window of w successive hashes, each selected place once.
 
