@@ -9,17 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, mix, ship, small, starts, written
-from .neardup import COORDINATES, _digests
+from .common import ship, small, written
+from .neardup import COORDINATES, SIG_MATCHES, _digests
 from .overlap import join_postings, postings
-from .shingles import distinct_sorted, minhash, shingle_hashes, winnow, word_hashes
+from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, winnow, word_hashes
 
 #: Windows of WINDOW successive shingles; texts of at most SHORT shingles keep all.
-WINDOW, SHORT = 8, 24
+WINDOW, SHORT = 12, 24
 #: A pair must share this part of the smaller expected number of seeds; at similarity 0.6 it shares about 0.7 of them.
-SEED_SHARE = 0.3
-#: Signature bytes that must agree before a pair is aligned.
-SIG_MATCHES = 7
+SEED_SHARE = 0.4
 #: A chain may jump over so many words, and drift by so many between the two texts.
 GAP, DRIFT = 60, 30
 
@@ -40,7 +38,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, side, k: int, window: int
             values, _, w_off = winnow(flow, off, window, short)
             elems, e_off = distinct_sorted(values, w_off)
             s, s_off = distinct_sorted(flow, off)
-            sig = (minhash(s, s_off, COORDINATES) & 0xFF).astype(np.uint8)
+            sig = half_bytes(minhash(s, s_off, COORDINATES))
             expected = np.minimum(np.diff(e_off), np.diff(s_off) * 2 // (window + 1))
             need = np.maximum(1, np.ceil(expected * SEED_SHARE)).astype(np.int32)
             rows = pa.array(full)
@@ -109,7 +107,7 @@ def aligned(pairs: DataFrame, words: DataFrame, k: int, threshold: float, window
             if not r.num_rows:
                 continue
             sim, ca, cb = np.zeros(r.num_rows), np.zeros(r.num_rows), np.zeros(r.num_rows)
-            cols = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (r.column(2), r.column(3))]
+            cols = [(c.values.to_numpy().view(np.uint32).astype(np.uint64), c.offsets.to_numpy()) for c in (r.column(2), r.column(3))]
             sets = []
             for v, o in cols:
                 s, so = shingle_hashes(v[o[0] : o[-1]], (o - o[0]).astype(np.int64), k)
@@ -134,10 +132,10 @@ def hashed_words(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFr
         for b in batches:
             if b.num_rows:
                 h, at = word_hashes(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "w"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["id", "w"])
 
     wanted = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(small(ids, 100_000), "id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, w array<bigint>")
+    return wanted.mapInArrow(run, "id bigint, w array<int>")
 
 
 def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -153,7 +151,7 @@ def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text
     reps = prints.groupBy("ck").agg(F.min("id").alias("rep"), F.expr("cast(bit_or(side) as tinyint)").alias("sides"))
     member = written(prints.select("id", "side", "ck").join(reps, "ck").select("id", "side", "rep", "sides"), "members")
     sets = prints.drop("side").join(member.where("id = rep").select("id", F.col("sides").alias("side")), "id")
-    pairs = written(join_postings(postings(sets.select("id", "side", "elems", "need", "sig")), COORDINATES, SIG_MATCHES, cross=True), "candidates")
+    pairs = written(join_postings(postings(sets.select("id", "side", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES, cross=True), "candidates")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     found = written(aligned(pairs, hashed_words(docs, key, text, ids), k, threshold), "aligned")
     flip = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("coverage_b").alias("coverage_a"), F.col("coverage_a").alias("coverage_b"))
@@ -164,5 +162,3 @@ def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text
     out = every.join(left, F.col("a") == F.col("ra")).join(right, F.col("b") == F.col("rb"))
     return out.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "similarity", "coverage_a", "coverage_b")
 
-
-_ = (MIX, mix, starts)
