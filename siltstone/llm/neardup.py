@@ -16,10 +16,10 @@ from .overlap import join_postings, postings
 from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, word_hashes
 
 #: Signature coordinates.  Of each the low half-byte goes along with every posting; the first POSTED ones are posted in full.
-COORDINATES, POSTED = 48, 12
-#: Posted coordinates that a pair must share: a pair at similarity 0.6 shares 7.2 of 12 on average, and under 2 with
-#: probability 0.0003; at 0.65 with 0.00008, at 0.7 with 0.00002.
-MATCHES = 2
+COORDINATES, POSTED = 48, 20
+#: Posted coordinates that a pair must share: a pair at similarity 0.6 shares 12 of 20 on average, and under 5 with
+#: probability 0.0003; at 0.65 with 0.00005, at 0.7 with 0.000006.
+MATCHES = 5
 #: Half-bytes of the whole signature that must agree before a pair is checked: under 18 of 48 agree with probability
 #: 0.0001 at similarity 0.6 and 0.000004 at 0.65, but 18 or more with 0.03 at 0.2.
 SIG_MATCHES = 18

@@ -75,14 +75,17 @@ def _offsets(keep: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def minhash(s: np.ndarray, off: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """k signature coordinates (32 bits) of each non-empty set."""
-    rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mul = np.random.default_rng(seed).integers(1, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.empty((len(off) - 1, k), dtype=np.uint32)
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    m, t = np.empty_like(x), np.empty_like(x)
     for c in range(k):
-        m = s * mul[c]
-        m ^= m >> np.uint64(32)
-        m *= MIX2
-        m >>= np.uint64(32)
+        np.multiply(x, mul[c], out=m)
+        np.right_shift(m, np.uint32(15), out=t)
+        np.bitwise_xor(m, t, out=m)
+        np.multiply(m, np.uint32(0x85EBCA6B), out=m)
+        np.right_shift(m, np.uint32(13), out=t)
+        np.bitwise_xor(m, t, out=m)
         out[:, c] = np.minimum.reduceat(m, off[:-1])
     return out
 
