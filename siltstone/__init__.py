@@ -1,0 +1 @@
+"""Siltstone: a PySpark-native engine for preparing and analysing text corpora."""
