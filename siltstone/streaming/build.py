@@ -16,6 +16,9 @@ from ..operators.contracts import fingerprint
 from ..operators.ordered import running_before
 from ..sources.files import write_json
 
+#: Columns of the published records.
+RECORDS = "source_ord bigint, text_sha256 string, id string, text string, url string, language string, language_score double, quality_score int, provided_token_count bigint, reason string, split string, packed_tokens bigint, shard_index int"
+
 
 def within_budget(rows: DataFrame, target: int) -> tuple[DataFrame, str]:
     """All source rows up to the kept row that reaches the token target, and the status.
@@ -43,7 +46,7 @@ def build_corpus(raw: DataFrame, folder: str, cfg: C.CleanConfig, target: int, s
         shutil.rmtree(stage)  # an orphan of a build that did not end
     rows, status = within_budget(C.corpus(raw, cfg), target)
     C.sharded(rows, shard_target).write.partitionBy("shard_index").parquet(f"{stage}/records")
-    done = raw.sparkSession.read.parquet(f"{stage}/records")
+    done = raw.sparkSession.read.schema(RECORDS).parquet(f"{stage}/records")
     manifest = describe(done, mark, status)
     if not manifest["conserved"]:
         raise RuntimeError("the built corpus doesn't add up")
@@ -67,7 +70,7 @@ def verify_corpus(spark: SparkSession, folder: str, mark: str) -> dict:
     manifest = json.loads((Path(folder) / "manifest.json").read_text())
     if manifest["fingerprint"] != mark:
         raise RuntimeError("the output was built with another configuration")
-    if describe(spark.read.parquet(f"{folder}/records"), mark, manifest["status"]) != manifest:
+    if describe(spark.read.schema(RECORDS).parquet(f"{folder}/records"), mark, manifest["status"]) != manifest:
         raise RuntimeError("the records differ from the manifest")
     return manifest
 
