@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import code_points, ratio
-from .ordered import running_before
 
 # Special ids and vocabulary size.
 SPECIALS = {"bos": 0, "eos": 1, "pad": 2, "unk": 3}
@@ -114,7 +113,3 @@ def shard_of_position(positions: DataFrame, shards: DataFrame) -> DataFrame:
     p, s = positions.alias("p"), few.alias("s")
     inside = (F.col("p.split") == F.col("s.split")) & (F.col("p.position") >= F.col("s.start")) & (F.col("p.position") < F.col("s.start") + F.col("s.tokens"))
     return p.join(s, inside).select("p.split", "p.position", "s.shard_index", (F.col("p.position") - F.col("s.start")).alias("local_position"))
-
-
-def global_prefix(docs: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    return running_before(docs, F.col(value), order, [by], "global_start")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -80,5 +79,3 @@ docs AS (SELECT *, len(tokens)::INT AS n_tokens FROM tokenized)"""
 STREAM_SQL = f"""{TOKENS_SQL},
 placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY split, shard_index ORDER BY doc_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_token,
   coalesce(sum(n_tokens) OVER (PARTITION BY split ORDER BY shard_index, doc_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_start FROM docs)"""
-
-_ = F
