@@ -150,8 +150,8 @@ def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text
     prints = written(fingerprints(docs, key, text, side, k), "fingerprints")
     reps = prints.groupBy("ck").agg(F.min("id").alias("rep"), F.expr("cast(bit_or(side) as tinyint)").alias("sides"))
     member = written(prints.select("id", "side", "ck").join(reps, "ck").select("id", "side", "rep", "sides"), "members")
-    sets = prints.drop("side").join(member.where("id = rep").select("id", F.col("sides").alias("side")), "id")
-    pairs = written(join_postings(postings(sets.select("id", "side", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES, cross=True), "candidates")
+    sets = prints.drop("side").join(member.where("id = rep").select("id", F.when(F.col("sides") == 3, F.col("id")).otherwise(-F.col("sides").cast("bigint")).alias("grp")), "id")
+    pairs = written(join_postings(postings(sets.select("id", "grp", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES), "candidates")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     found = written(aligned(pairs, hashed_words(docs, key, text, ids), k, threshold), "aligned")
     flip = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("coverage_b").alias("coverage_a"), F.col("coverage_a").alias("coverage_b"))

@@ -23,6 +23,8 @@ MATCHES = 5
 #: Half-bytes of the whole signature that must agree before a pair is checked: under 18 of 48 agree with probability
 #: 0.0001 at similarity 0.6 and 0.000004 at 0.65, but 18 or more with 0.03 at 0.2.
 SIG_MATCHES = 18
+#: Bands of successive coordinates in which large groups of near-copies are looked for, and the least size of such a group.
+BANDS, HOT = 8, 512
 
 
 def set_columns(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,8 +33,8 @@ def set_columns(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, ck binary, elems array<bigint>, sig binary): digest of the shingle set, its posted coordinates with their values,
-    and the half-bytes of all coordinates; texts under k words give no row."""
+    """(id, ck binary, elems array<bigint>, bands array<bigint>, sig binary): digest of the shingle set, its posted coordinates
+    with their values, hashes of its bands, and the half-bytes of all coordinates; texts under k words give no row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -45,15 +47,17 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             off = np.append(off[full], off[-1])
             mh = minhash(s, off, COORDINATES)
             e = mix((mh[:, :POSTED].astype(np.uint64) * MIX2) ^ (np.arange(1, POSTED + 1, dtype=np.uint64) * MIX3)).view(np.int64)
+            band = np.zeros((len(full), BANDS), dtype=np.uint64)
+            for c in range(COORDINATES):
+                j = c * BANDS // COORDINATES
+                band[:, j] = mix((band[:, j] ^ mh[:, c]) + np.uint64(j))
+            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(full)), pa.array(_digests(s, off), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * POSTED), pa.array(e.ravel())), pa.array([x.tobytes() for x in half_bytes(mh)], pa.binary()),
-                ],
-                names=["id", "ck", "elems", "sig"],
-            )
+                [b.column(0).take(pa.array(full)), pa.array(_digests(s, off), pa.binary()), lists(e), lists(band), pa.array([x.tobytes() for x in half_bytes(mh)], pa.binary())],
+                names=["id", "ck", "elems", "bands", "sig"],
+            )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(sign, "id bigint, ck binary, elems array<bigint>, sig binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(sign, "id bigint, ck binary, elems array<bigint>, bands array<bigint>, sig binary")
 
 
 def _digests(s: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -99,25 +103,51 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return x.mapInArrow(check, "a bigint, b bigint, similarity double")
 
 
+def hot_links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int, threshold: float) -> DataFrame | None:
+    """Checked links from members of large groups of near-copies to the least document with the same band; None if there is no such group.
+
+    A band's size and its least document are partial aggregates.  Only bands of more than HOT documents count, and each of
+    their documents is compared with one leader, so the work is linear in the group.
+    """
+    band = classes.select("id", F.explode("bands").alias("band"))
+    hot = written(band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where(F.col("n") > HOT).select("band", "a"), "hot")
+    if not hot.take(1):
+        return None
+    pairs = written(band.join(small(hot, 100_000), "band").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).where("a < b").select("a", "b"), "leaders")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    return written(similar_pairs(pairs, written(shingle_sets(docs, key, text, ids, k), "sets"), threshold).select("a", "b"), "hot_links")
+
+
 def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(membership, links): id -> rep, the least id with the same shingle set; and rep pairs at or above the threshold.
 
     Copies are contracted to their least id before any pairing (partial minima, then one row a class), so a class that
-    holds a third of all rows is one document in the join.  Null texts, and texts under k words, are in neither result.
+    holds a third of all rows is one document in the join.  A large group of near-copies is first linked to leaders; the
+    join then makes no pairs inside what these links connect, so of such a group the links to its leaders stand for all others.  Null
+    texts, and texts under k words, are in neither result.
     """
     ship(docs.sparkSession)
     sig = written(signatures(docs, key, text, k), "signatures")
     reps = sig.groupBy("ck").agg(F.min("id").alias("rep"))
     member = written(sig.select("id", "ck").join(reps, "ck").select("id", "rep"), "members")
-    sets = sig.join(member.where("id = rep").select("id"), "id", "left_semi").select("id", F.lit(0).cast("tinyint").alias("side"), "elems", F.lit(MATCHES).alias("need"), "sig")
-    pairs = written(join_postings(postings(sets), COORDINATES // 2, SIG_MATCHES, cross=False), "candidates")
+    classes = sig.join(member.where("id = rep").select("id"), "id", "left_semi")
+    hot = hot_links(docs, key, text, classes, k, threshold)
+    if hot is None:
+        sets = classes.withColumn("grp", F.col("id"))
+    else:
+        comp = connected_components(hot, "a", "b").select(F.col("node").alias("id"), "component")
+        sets = classes.join(comp, "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    sets = sets.select("id", "grp", "elems", F.lit(MATCHES).alias("need"), "sig")
+    sets = sets if hot is None else written(sets, "grouped")
+    pairs = written(join_postings(postings(sets, by_group=True), COORDINATES // 2, SIG_MATCHES), "candidates")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    checked = similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold)
-    return member, checked
+    checked = similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold).select("a", "b")
+    return member, checked if hot is None else checked.union(hot).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, rep, links, first): one row per document with at least k words; first is the least id of its group."""
+    """(id, rep, links, first): one row per document with at least k words; first is the least id of its group, links the
+    number of its class's checked links (inside a large group of near-copies, of those to leaders)."""
     member, checked = near_duplicates(docs, key, text, k, threshold)
     links = written(checked, "links")
     comp = connected_components(links, "a", "b")
