@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def indexed(logits: Column) -> Column:
@@ -66,3 +67,28 @@ def diversity(tokens: Column, n: int = 2) -> Column:
         lambda a: a["s"] + F.when(a["c"] > 0, a["c"] * F.log(a["c"].cast("double"))).otherwise(0.0),
     )
     return F.struct((F.size(F.array_distinct(grams)) / F.size(grams)).alias("distinct_ngrams"), (F.size(kinds) / size).alias("distinct_tokens"), (F.log(size.cast("double")) - runs / size).alias("entropy"))
+
+
+def sample_plan(prompts: DataFrame, decodings: DataFrame) -> DataFrame:
+    """(sample_index, prompt_id, decoding_id): every prompt with every decoding, numbered prompt by prompt.
+
+    Both sides are short lists of settings; the numbers come from ranks of each side, so no row waits for a global window.
+    """
+    d = decodings.select("decoding_id").distinct()
+    p = prompts.select("prompt_id").distinct()
+    n = d.count()
+    rank = lambda df, c: df.select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias("_r"))
+    x = rank(p, "prompt_id").withColumnRenamed("_r", "_p").crossJoin(F.broadcast(rank(d, "decoding_id")))
+    return x.select((F.col("_p") * n + F.col("_r")).alias("sample_index"), "prompt_id", "decoding_id")
+
+
+def longest_repeat(tokens: Column, most: int = 32) -> Column:
+    """Length of the longest run of tokens that occurs twice (possibly overlapping), up to ``most``; 0 if none does."""
+    size = F.size(tokens)
+
+    def repeated(n: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n))
+        return (size > n) & (F.size(F.array_distinct(grams)) < F.size(grams))
+
+    hits = F.filter(F.sequence(F.lit(1), F.lit(most)), repeated)
+    return F.coalesce(F.array_max(hits), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,22 @@ def batches(rows: DataFrame, index: str, size: int, drop_last: bool) -> DataFram
     """(batch_id, samples, first, last) of consecutive batches; an incomplete last one goes or stays."""
     b = rows.groupBy(F.floor(F.col(index) / size).alias("batch_id")).agg(F.count(F.lit(1)).alias("samples"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
     return b.where(F.col("samples") == size) if drop_last else b
+
+
+def synthetic(batches: DataFrame, stream: str, seed: int, rows: int, length: int, vocabulary: int, specials: int = 4) -> DataFrame:
+    """(batch_index, row, x, y) of made-up tokens: each id comes from (stream, seed, batch, row, place) alone, so any batch can be made again."""
+    at = batches.select("batch_index", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
+
+    def token(i: Column) -> Column:
+        h = F.sha2(F.concat_ws(":", F.lit(stream), F.lit(str(seed)), F.col("batch_index").cast("string"), F.col("row").cast("string"), i.cast("string")), 256)
+        return (F.lit(specials) + F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint"), F.lit(vocabulary - specials))).cast("int")
+
+    c = at.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(length)), token))
+    return c.select("batch_index", "row", F.slice("c", 1, length).alias("x"), F.slice("c", 2, length).alias("y"))
+
+
+def epoch_seed(name: str, seed: int, epoch: int) -> int:
+    """A non-negative 63-bit seed: the first eight bytes of sha256(name:seed:epoch), lowest byte first."""
+    if epoch < 0:
+        raise ValueError("epoch must not be negative")
+    return int.from_bytes(hashlib.sha256(f"{name}:{seed}:{epoch}".encode()).digest()[:8], "little") & (2**63 - 1)

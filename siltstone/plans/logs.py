@@ -310,3 +310,9 @@ def parameter_count(spark: SparkSession, d: str) -> DataFrame:
     w, n = F.col("w"), F.col("l")
     c = table(spark, d, "nation").select(F.col("n_nationkey").alias("config"), (128 + F.col("n_nationkey").cast("bigint") * 64).alias("w"), (2 + F.col("n_nationkey").cast("bigint") % 11).alias("l"))
     return c.select("config", ((16_384 + 512) * w + n * (12 * w * w + 13 * w) + 2 * w).alias("parameters"))
+
+
+@query("WITH p AS (SELECT n_name AS prompt_id, row_number() OVER (ORDER BY n_name) - 1 AS i FROM (SELECT DISTINCT n_name FROM nation)), g AS (SELECT r_name AS decoding_id, row_number() OVER (ORDER BY r_name) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT r_name FROM region)) SELECT i * n + j AS sample_index, prompt_id, decoding_id FROM p CROSS JOIN g")
+def generation_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts (here names of nations) by decodings (names of regions)."""
+    return G.sample_plan(table(spark, d, "nation").select(F.col("n_name").alias("prompt_id")), table(spark, d, "region").select(F.col("r_name").alias("decoding_id")))

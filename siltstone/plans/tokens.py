@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import generation as G
 from ..operators import tokens as K
 from ..operators import windows as W
 from ..operators.ordered import pack_close_before
@@ -225,3 +226,17 @@ def flag_decode(spark: SparkSession, d: str) -> DataFrame:
     f = (F.col("doc_ord") % 4).cast("int")
     codes = F.create_map(*[x for i, s in enumerate(("train", "validation", "test")) for x in (F.lit(s), F.lit(i))])
     return table(spark, d, "doc_index").select("doc_ord", "shard_index", "split", f.alias("flags"), (f.bitwiseAND(F.lit(1)) != 0).alias("append_end"), (f == 1).alias("only_append_end"), codes[F.col("split")].alias("split_code"))
+
+
+@query("""WITH b AS (SELECT DISTINCT shard_index * 10 + doc_ord % 10 AS batch_index FROM doc_index), r AS (SELECT batch_index, unnest(range(4))::INT AS row FROM b), t AS (SELECT batch_index, row, list_transform(range(17), lambda i: (4 + ('0x' || substr(sha256('train:42:' || batch_index || ':' || row || ':' || i), 1, 12))::BIGINT % 16380)::INT) AS c FROM r)
+SELECT batch_index, row, c[1:16] AS x, c[2:17] AS y FROM t""")
+def synthetic_batches(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "doc_index").select((F.col("shard_index") * 10 + F.col("doc_ord") % 10).alias("batch_index")).distinct()
+    return W.synthetic(b, "train", 42, 4, 16, K.VOCABULARY)
+
+
+@query(f"""WITH {TOKENS_SQL}, t AS (SELECT record_no, tokens[1:48] AS t FROM docs), r AS (SELECT record_no, t, unnest(range(1, 9)) AS n FROM t WHERE true), h AS (SELECT record_no, n, len(list_distinct(list_transform(range(1, len(t) - n + 2), lambda i: t[i:i + n - 1]))) < len(t) - n + 1 AS hit FROM r WHERE len(t) > n)
+SELECT t.record_no, coalesce(max(CASE WHEN hit THEN n END), 0)::INT AS longest FROM t LEFT JOIN h ON h.record_no = t.record_no GROUP BY 1""")
+def generation_longest_repeat(spark: SparkSession, d: str) -> DataFrame:
+    """Longest repeated run, up to 8, in the first 48 ids of each document (the length of a generated sample)."""
+    return _docs(spark, d).select("record_no", G.longest_repeat(F.slice("tokens", 1, 48), 8).alias("longest"))

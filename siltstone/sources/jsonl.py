@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,3 +102,10 @@ def write_splits(rows: DataFrame, path: str) -> None:
 def write_sample(rows: DataFrame, path: str, n: int, order: str = "source_ord") -> None:
     """The first n records by order (the sample size is the feature)."""
     rows.orderBy(order).limit(n).coalesce(1).write.mode("errorifexists").json(path)
+
+
+def read_observed(spark: SparkSession, paths: list[str], schema: str, text: str = "text", tokens: str | None = None) -> tuple[DataFrame, Observation]:
+    """Rows as read_strict gives them, and an observation of their number, characters and bytes that fills in the pass that uses them."""
+    seen = Observation("jsonl")
+    rows = read_strict(spark, paths, schema, text, tokens)
+    return rows.observe(seen, F.count(F.lit(1)).alias("records"), F.sum(F.length(text)).alias("characters"), F.sum(F.octet_length(text)).alias("utf8_bytes")), seen

@@ -78,3 +78,11 @@ def test_index_gaps(spark):
 def test_dummy_tokenizer(spark):
     d = spark.createDataFrame([("ab\U0001f916",), ("",)], "t string").select(K.code_point_ids(F.col("t")).alias("i")).collect()
     assert d[0]["i"] == [100 + ord(c) % 97 for c in "ab\U0001f916"] + [1] and d[1]["i"] == [1]
+
+
+def test_seeds_and_synthetic_batches(spark):
+    assert W.epoch_seed("a", 1, 2) == W.epoch_seed("a", 1, 2) != W.epoch_seed("a", 1, 3)
+    b = spark.range(3).withColumnRenamed("id", "batch_index")
+    whole = {(r["batch_index"], r["row"]): r["x"] for r in W.synthetic(b, "s", 7, 2, 5, 100).collect()}
+    one = {(r["batch_index"], r["row"]): r["x"] for r in W.synthetic(b.where("batch_index = 2"), "s", 7, 2, 5, 100).collect()}
+    assert one == {k: v for k, v in whole.items() if k[0] == 2} and all(4 <= t < 100 for v in whole.values() for t in v)

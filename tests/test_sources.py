@@ -42,6 +42,8 @@ def test_strict_lines(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"text": "x", "n": 1}\n{"text": "y", "n": 2}\n')
     assert jsonl.read_strict(spark, [str(p)], "text string, n bigint", tokens="n").count() == 2
+    rows, seen = jsonl.read_observed(spark, [str(p)], "text string, n bigint")
+    assert rows.count() == 2 and seen.get == {"records": 2, "characters": 2, "utf8_bytes": 2}
     cases = {"\n": "blank", "[1]\n": "not_object", '{"text": "x", "text": "y"}\n': "not_json", '{"text": "x", "n": NaN}\n': "not_json", '{"text": "", "n": 1}\n': "no_text", '{"text": "x", "n": true}\n': "bad_tokens"}
     for line, why in cases.items():
         p.write_text('{"text": "x", "n": 1}\n' + line)
