@@ -30,30 +30,35 @@ _JOINER = re.compile(f"(?<![{_PICTURE}])‍|‍(?![{_PICTURE}])")
 # Blanks and hyphens of other kinds.
 _MAPPED = str.maketrans({**dict.fromkeys("               　", " "), **dict.fromkeys("‐‑﹣－", "-")})
 _LINE_END = re.compile("\r\n?|\u0085| | ")
-_BLANK = re.compile(r"\s+")
 _NOT_PLAIN = re.compile("[^\n\t\x20-\x7e]")
-_looks = str.maketrans(LOOKALIKES)
 
 
 class _Forms(dict):
-    """What each character becomes: its compatibility form, unless a reader sees the difference."""
-
-    def __missing__(self, code: int) -> str | int:
-        ch = chr(code)
-        kind = unicodedata.decomposition(ch).split(" ")[0]
-        if not kind.startswith("<") or kind in SHOWN:
-            out: str | int = code
-        else:
-            out = unicodedata.normalize("NFKC", ch)
-            if out[:1] == " " and len(out) > 1 or any(unicodedata.decomposition(c).split(" ")[0] in SHOWN for c in out):
-                out = code
-        self[code] = out
+    """What each character becomes: blanks, hyphens and look-alikes their plain form, others their compatibility form,
+    unless a reader sees the difference."""
+
+    def __missing__(self, ch: str) -> str:
+        out = ch.translate(_MAPPED)
+        kind = unicodedata.decomposition(out).split(" ")[0]
+        if kind.startswith("<") and kind not in SHOWN:
+            plain = unicodedata.normalize("NFKC", out).translate(_MAPPED)
+            if not (plain[:1] == " " and len(plain) > 1) and not any(unicodedata.decomposition(c).split(" ")[0] in SHOWN for c in plain):
+                out = plain
+        out = self[ch] = "".join(LOOKALIKES.get(c, c) for c in out)
         return out
 
 
 _forms = _Forms()
 
 
+def _replaced(text: str, table: dict[str, str]) -> str:
+    """text with the characters that the table changes replaced; no outcome is itself changed, so the order is free."""
+    for c in set(text):
+        if c > "~" and (out := table[c]) != c:
+            text = text.replace(c, out)
+    return text
+
+
 def shown_form(text: str) -> str:
     """The consistent form in which texts are equal exactly if they show the same.
 
@@ -64,21 +69,27 @@ def shown_form(text: str) -> str:
         return text
     t = _LINE_END.sub("\n", text)
     t = _IGNORED.sub("", t)
-    t = _JOINER.sub("", t)
-    t = t.translate(_MAPPED)
-    t = unicodedata.normalize("NFC", t).translate(_forms)
-    t = unicodedata.normalize("NFC", t).translate(_MAPPED).translate(_looks)
-    return unicodedata.normalize("NFC", t)
+    if "\u200d" in t:
+        t = _JOINER.sub("", t)
+    return unicodedata.normalize("NFC", _replaced(unicodedata.normalize("NFC", t), _forms))
+
+
+class _Looks(dict):
+    def __missing__(self, ch: str) -> str:
+        return LOOKALIKES.get(ch, ch)
+
+
+_looks = _Looks()
 
 
 def loose_form(shown: str) -> str:
     """Comparison form: compatibility-composed, full case folding, blanks as single spaces, look-alikes mapped again."""
     if _NOT_PLAIN.search(shown):
         t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", shown).casefold())
-        t = _IGNORED.sub("", t.replace("‍", "")).translate(_looks).casefold()
+        t = _replaced(_IGNORED.sub("", t.replace("\u200d", "")), _looks).casefold()
     else:
         t = shown.lower()
-    return _BLANK.sub(" ", t).strip()
+    return " ".join(t.split())
 
 
 def _columns(values: list[str]) -> tuple[list[str], list[bytes], list[bytes], list[bool]]:
