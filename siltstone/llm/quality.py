@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,9 +42,16 @@ class _Tokens(dict):
         if not mask and ("'" in low or "’" in low or "-" in low):
             for part in _PART.split(low):
                 mask |= self.common.get(part, 0)
-        letters = sum(c.isalpha() or unicodedata.category(c) in ("Mn", "Mc") for c in core)
-        digits = sum(c.isdigit() for c in core)
-        signs = sum(not (c.isalnum() or c in _STRIP or unicodedata.category(c) in ("Mn", "Mc")) for c in token)
+        if core.isalpha():
+            letters, digits = len(core), 0
+        elif core.isdecimal():
+            letters, digits = 0, len(core)
+        else:
+            letters = sum(c.isalpha() or unicodedata.category(c) in ("Mn", "Mc") for c in core)
+            digits = sum(c.isdigit() for c in core)
+        signs = 0
+        if letters + digits < len(core) or len(core) < len(token):
+            signs = sum(not (c.isalnum() or c in _STRIP or unicodedata.category(c) in ("Mn", "Mc")) for c in token)
         word = letters > 0 and letters >= digits
         inner = len(core) - letters - digits - sum(c in "'’-‐‑" for c in core)
         bad = word and (inner > 0 or digits > 0 or len(low) > 22 or (letters > 2 and not _VOWEL.search(low))) or "�" in token or (not word and not digits and len(token) > 2)
@@ -122,14 +131,14 @@ class Measure:
                     line_n[i] += 1
                     line_end[i] += bool(_END.search(tok[-1]))
             count[i] = len(every) - base
-            marks = np.cumsum([0, *(len(x) for x in split)])
+            marks = [0, *itertools.accumulate(map(len, split))]
             per = [len(_CELL.findall(x.strip())) for x in raw]
             for a, b, k in passages(split):
                 doc.append(i)
                 begin.append(base + a)
                 end.append(base + b)
                 breaks.append(k)
-                lo, hi = int(np.searchsorted(marks, a, "right")) - 1, int(np.searchsorted(marks, b, "left"))
+                lo, hi = bisect.bisect_right(marks, a) - 1, bisect.bisect_left(marks, b)
                 whole = marks[hi] - marks[lo] if hi < len(marks) else b - a
                 cells.append(sum(per[lo:hi]) * (b - a) / max(1, whole))
         code = np.fromiter(map(self.tokens.__getitem__, every), np.int64, len(every))
@@ -255,11 +264,23 @@ def common_mask(words: DataFrame) -> tuple[dict[str, int], int]:
     return out, max(1, len(languages))
 
 
+_measures: dict[int, Measure] = {}
+
+
+def _measure(common: dict[str, int], languages: int) -> Measure:
+    """The worker's measure for these words, so that tokens met in one task are known in the next."""
+    key = hash((languages, frozenset(common.items())))
+    if key not in _measures:
+        _measures.clear()
+        _measures[key] = Measure(common, languages)
+    return _measures[key]
+
+
 def measured(docs: DataFrame, key: str, text: str, common: dict[str, int], languages: int) -> DataFrame:
     """(id, stats array<double>, words array<int>, x array<float>): a row per document with visible text; x holds the features of its passages, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Measure(common, languages)
+        measure = _measure(common, languages)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
