@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import itertools
 import shutil
 import tempfile
 import uuid
@@ -39,15 +38,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table._siltstone_path = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that no later result reads."""
+    for t in tables:
+        path = t._siltstone_path
+        _written.remove((t.sparkSession, path))
+        _remove(t.sparkSession, path)
 
 
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(spark, path)
         except Exception:  # the session is gone already
             return
 
@@ -82,9 +95,3 @@ def starts(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
-
-
-def chunks(it, size):
-    it = iter(it)
-    while part := list(itertools.islice(it, size)):
-        yield part

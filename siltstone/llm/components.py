@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(e)
     for _ in range(rounds):
-        e = written(_small_star(_large_star(e)), "edges")
+        before, e = e, written(_small_star(_large_star(e)), "edges")
+        discard(before)
         now = _mark(e)
         if now == mark:
             break

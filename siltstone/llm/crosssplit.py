@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small, written
+from .common import discard, ship, small, written
 from .neardup import COORDINATES, SIG_MATCHES, _digests
 from .overlap import join_postings, postings
 from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, winnow, word_hashes
@@ -151,9 +151,10 @@ def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text
     reps = prints.groupBy("ck").agg(F.min("id").alias("rep"), F.expr("cast(bit_or(side) as tinyint)").alias("sides"))
     member = written(prints.select("id", "side", "ck").join(reps, "ck").select("id", "side", "rep", "sides"), "members")
     sets = prints.drop("side").join(member.where("id = rep").select("id", F.when(F.col("sides") == 3, F.col("id")).otherwise(-F.col("sides").cast("bigint")).alias("grp")), "id")
-    pairs = written(join_postings(postings(sets.select("id", "grp", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES), "candidates")
+    pairs = join_postings(postings(sets.select("id", "grp", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     found = written(aligned(pairs, hashed_words(docs, key, text, ids), k, threshold), "aligned")
+    discard(prints, pairs, ids)
     flip = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("coverage_b").alias("coverage_a"), F.col("coverage_a").alias("coverage_b"))
     same = member.where("id = rep and sides = 3").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage_a"), F.lit(1.0).alias("coverage_b"))
     every = found.union(flip).union(same)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX2, MIX3, mix, ship, small, written
+from .common import MIX2, MIX3, discard, mix, ship, small, written
 from .components import connected_components
 from .overlap import join_postings, postings
 from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, word_hashes
@@ -115,7 +115,10 @@ def hot_links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int,
         return None
     pairs = written(band.join(small(hot, 100_000), "band").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).where("a < b").select("a", "b"), "leaders")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    return written(similar_pairs(pairs, written(shingle_sets(docs, key, text, ids, k), "sets"), threshold).select("a", "b"), "hot_links")
+    sets = written(shingle_sets(docs, key, text, ids, k), "sets")
+    links = written(similar_pairs(pairs, sets, threshold).select("a", "b"), "hot_links")
+    discard(hot, pairs, ids, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -139,17 +142,18 @@ def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text"
         sets = classes.join(comp, "id", "left").withColumn("grp", F.coalesce("component", "id"))
     sets = sets.select("id", "grp", "elems", F.lit(MATCHES).alias("need"), "sig")
     sets = sets if hot is None else written(sets, "grouped")
-    pairs = written(join_postings(postings(sets, by_group=True), COORDINATES // 2, SIG_MATCHES), "candidates")
+    pairs = join_postings(postings(sets, by_group=True), COORDINATES // 2, SIG_MATCHES)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     checked = similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold).select("a", "b")
-    return member, checked if hot is None else checked.union(hot).distinct()
+    links = written(checked if hot is None else checked.union(hot).distinct(), "links")
+    discard(sig, pairs, ids)
+    return member, links
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, rep, links, first): one row per document with at least k words; first is the least id of its group, links the
     number of its class's checked links (inside a large group of near-copies, of those to leaders)."""
-    member, checked = near_duplicates(docs, key, text, k, threshold)
-    links = written(checked, "links")
+    member, links = near_duplicates(docs, key, text, k, threshold)
     comp = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     info = comp.withColumnRenamed("node", "rep").join(degree, "rep")

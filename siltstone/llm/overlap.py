@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX2, mix, written
+from .common import MIX2, discard, mix, written
 
 #: An element in at most this many documents is never called frequent.
 LIGHT = 256
@@ -138,7 +138,7 @@ def join_postings(post: DataFrame, width: int, least: int) -> DataFrame:
     """Candidate pairs (a < b), each once, of documents of different groups under the same key whose signatures agree in ``least`` half-bytes.
 
     Rows of one key come to one task in order.  A list of at most BLOCK rows is paired there; longer ones come out again
-    as rows and are paired block by block in as many tasks as there are pairs of blocks.
+    as rows and are paired block by block in as many tasks as there are pairs of blocks.  The result is a written table.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,9 @@ def join_postings(post: DataFrame, width: int, least: int) -> DataFrame:
     found = out.where("sig is null").select("a", "b")
     rest = out.where("sig is not null").select(F.col("a").alias("key"), F.col("b").alias("id"), "grp", "sig")
     if not rest.take(1):
-        return found.distinct()
+        made = written(found.distinct(), "candidates")
+        discard(out)
+        return made
     per = rest.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"))
     big = per.where(F.col("n") > BLOCK).select("key", "grp", F.col("grp").alias("own"), F.ceil(F.col("n") / BLOCK).cast("int").alias("own_g"))
     common = per.where(F.col("n") <= BLOCK).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("g"))
@@ -195,7 +197,9 @@ def join_postings(post: DataFrame, width: int, least: int) -> DataFrame:
         return pa.table({"a": u[:, 0], "b": u[:, 1]})
 
     more = left.union(right).groupBy("key", "lo", "hi").applyInArrow(blocked, "a bigint, b bigint")
-    return found.union(more).distinct()
+    made = written(found.union(more).distinct(), "candidates")
+    discard(out, blocks, tasks)
+    return made
 
 
 def _lists(key, ids, grp, sigs, long_key, least: int) -> tuple[list, list]:

@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import xxhash
 
-from .common import MIX, MIX2, MIX3, mix, starts
+from .common import MIX3, mix, starts
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_MOST = 2_000_000
@@ -113,5 +113,3 @@ def winnow(s: np.ndarray, off: np.ndarray, w: int, short: int) -> tuple[np.ndarr
         chosen[best[inside]] = True
     return s[chosen], place[chosen], _offsets(chosen, off)
 
-
-_ = MIX

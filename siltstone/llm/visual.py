@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small, written
+from .common import discard, ship, small, written
 
 # Letters that look like Latin ones, each with the letter it looks like.
 LOOKALIKES = {
@@ -137,6 +137,7 @@ def same_looking_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     variants = keyed.groupBy("lk", "sk", "tk").agg(F.count(F.lit(1)).alias("n"))
     several = variants.groupBy("lk", "sk").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("lk", "sk")
     rows = written(keyed.join(small(several, 50_000), ["lk", "sk"], "left_semi"), "several")
+    discard(keyed)
     v = rows.select("sk", "tk").distinct()
     pairs = v.select("sk", F.col("tk").alias("ta")).join(v.select("sk", F.col("tk").alias("tb")), "sk").where("ta < tb")
     a = rows.select("sk", F.col("tk").alias("ta"), F.col("id").alias("x"))
