@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -9,28 +10,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# All white space but the line feed, as a Java character class.
-HWS = "[\\t\\x0B\\f\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# All that is not white space, as a Java character class.
+_BLANK_LINES = re.compile("\n{3,}")
 _NOT_WS = "[^\\n\\r\\t\\x0B\\f\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
+def _clean(text: str) -> str:
+    t = text if text.isascii() else unicodedata.normalize("NFC", text)
+    lines = t.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return _BLANK_LINES.sub("\n\n", "\n".join([" ".join(x.split()) for x in lines])).strip("\n")
+
+
 @F.arrow_udf(T.StringType())
 def _nfc(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def _normalize(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _clean(t) for t in text.to_pylist()], pa.string())
+
+
 def nfc(text: Column) -> Column:
-    """Composed form.  Spark has no built-in one, so this is the only Python step of cleaning; nulls stay null."""
+    """Composed form; nulls stay null."""
     return _nfc(text)
 
 
 def normalize_text(text: Column) -> Column:
-    """Composed, line ends as \\n, other white space as single blanks, lines trimmed, at most one blank line, ends trimmed."""
-    t = F.regexp_replace(nfc(text), "\\r\\n?", "\n")
-    t = F.regexp_replace(t, HWS + "+", " ")
-    t = F.regexp_replace(t, " ?\\n ?", "\n")
-    t = F.regexp_replace(t, "\\n{3,}", "\n\n")
-    return F.regexp_replace(t, "^[ \\n]+|[ \\n]+\\z", "")
+    """Composed, line ends as \\n, other white space as single blanks, lines trimmed, at most one blank line, ends trimmed.
+
+    Spark has no composition, so text goes to an Arrow batch function anyway; the rest is done there in the same visit.
+    """
+    return _normalize(text)
 
 
 def has_visible(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, has_visible, normalize_text, split_label
+from ..session import written
 from .ordered import pack_close_after
 
 # Removal reasons in the order in which they are tried.
@@ -59,7 +60,7 @@ def judged(raw: DataFrame, cfg: CleanConfig) -> DataFrame:
     d = d.withColumn("reason", reason(cfg, F.col("text"), F.col("_norm"), F.col("language"), F.col("language_score"), F.col("int_score"), F.col("token_count")))
     return d.select(
         "source_ord", "id", F.col("_norm").alias("text"), "url", "language", "language_score", F.col("int_score").cast("int").alias("quality_score"),
-        F.col("token_count").cast("bigint").alias("provided_token_count"), digest(F.col("_norm")).alias("text_sha256"), "reason",
+        F.col("token_count").cast("bigint").alias("provided_token_count"), digest(F.col("_norm")).alias("text_sha256"), "reason", F.length("_norm").alias("characters"),
     )
 
 
@@ -83,10 +84,14 @@ def with_split(rows: DataFrame, cfg: CleanConfig) -> DataFrame:
     return rows.withColumn("split", F.when(F.col("reason").isNull(), split_label(cfg.seed, F.col("text_sha256"), cfg.train, cfg.validation)))
 
 
-def corpus(raw: DataFrame, cfg: CleanConfig | None = None) -> DataFrame:
-    """All records with text cleaned, first reason, duplicates marked, and kept rows' split."""
+def corpus(raw: DataFrame, cfg: CleanConfig | None = None, text: bool = True) -> DataFrame:
+    """All records with text cleaned, first reason, duplicates marked, and kept rows' split.
+
+    Cleaning is written to the shared folder once, since deduplication reads it twice; without text the table is narrow.
+    """
     cfg = cfg or CleanConfig()
-    return with_split(keep_first(judged(raw, cfg)), cfg)
+    j = judged(raw, cfg)
+    return with_split(keep_first(written(j if text else j.drop("text"), "judged")), cfg)
 
 
 def removal_counts(rows: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def removal_counts(rows: DataFrame) -> DataFrame:
 
 def split_totals(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
-    n = rows.where("reason is null").groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum("provided_token_count").alias("tokens"), F.sum(F.length("text")).alias("characters"))
+    n = rows.where("reason is null").groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum("provided_token_count").alias("tokens"), F.sum("characters").alias("characters"))
     domain = spark.createDataFrame([(s,) for s in SPLITS], "split string")
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("records", "tokens", "characters")]
     return F.broadcast(domain).join(n, "split", "left").select("split", *zero)

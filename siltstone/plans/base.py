@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,11 +31,11 @@ RAW_COLUMNS = ["source_ord", "id", "text", "url", "language", "language_score",
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_records").select(*RAW_COLUMNS)
+    return spread(table(spark, d, "source_records").select(*RAW_COLUMNS))
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clean_records")
+    return spread(table(spark, d, "clean_records"))
 
 
 _WS = r"\t\x0B\f\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

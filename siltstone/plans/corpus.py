@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import clean as C
 from ..operators import ordered, profile
+from ..session import written
 from .base import RAW_COLUMNS, VISIBLE, clean, corpus_sql, fraction_sql, judged_sql, norm_sql, query, raw, table
 
 WIDE = C.CleanConfig(train=0.8, validation=0.1)
@@ -70,17 +71,17 @@ def clean_reason_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql()} SELECT dom.reason, count(c.source_ord) AS records FROM {REASON_DOMAIN} LEFT JOIN corpus c ON coalesce(c.reason, 'kept') = dom.reason GROUP BY 1")
 def removal_counts(spark: SparkSession, d: str) -> DataFrame:
-    return C.removal_counts(C.corpus(raw(spark, d)))
+    return C.removal_counts(C.corpus(raw(spark, d), text=False))
 
 
 @query(f"WITH {corpus_sql()} SELECT count(*) AS input, count(*) FILTER (WHERE reason IS NULL) AS kept, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE reason IS NULL) / count(*), 8) END AS retention_rate FROM corpus")
 def retention_rate(spark: SparkSession, d: str) -> DataFrame:
-    return C.retention(C.corpus(raw(spark, d)))
+    return C.retention(C.corpus(raw(spark, d), text=False))
 
 
 @query(f"WITH {corpus_sql()} SELECT source_ord, text_sha256, reason FROM corpus WHERE reason IS NULL OR reason = 'exact_duplicate'")
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return C.corpus(raw(spark, d)).where("reason is null or reason = 'exact_duplicate'").select("source_ord", "text_sha256", "reason")
+    return C.corpus(raw(spark, d), text=False).where("reason is null or reason = 'exact_duplicate'").select("source_ord", "text_sha256", "reason")
 
 
 @query(f"WITH {judged_sql()} SELECT source_ord, text_sha256 FROM judged WHERE reason IS NULL AND source_ord % 2 = 1 AND text_sha256 NOT IN (SELECT text_sha256 FROM judged WHERE reason IS NULL AND source_ord % 2 = 0)")
@@ -92,12 +93,12 @@ def dedup_against_committed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql(0.8, 0.1)} SELECT source_ord, round({fraction_sql(42, 'text_sha256')}, 12) AS fraction, split FROM corpus WHERE reason IS NULL")
 def split_assign(spark: SparkSession, d: str) -> DataFrame:
-    return C.corpus(raw(spark, d), WIDE).where("reason is null").select("source_ord", F.round(T.fraction(42, F.col("text_sha256")), 12).alias("fraction"), "split")
+    return C.corpus(raw(spark, d), WIDE, text=False).where("reason is null").select("source_ord", F.round(T.fraction(42, F.col("text_sha256")), 12).alias("fraction"), "split")
 
 
 @query(f"WITH {corpus_sql()} SELECT dom.split, count(c.source_ord) AS records, coalesce(sum(provided_token_count), 0)::BIGINT AS tokens, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM {SPLIT_DOMAIN} LEFT JOIN corpus c ON c.split = dom.split GROUP BY 1")
 def split_totals(spark: SparkSession, d: str) -> DataFrame:
-    return C.split_totals(C.corpus(raw(spark, d)))
+    return C.split_totals(C.corpus(raw(spark, d), text=False))
 
 
 @query("SELECT text_sha256, count(DISTINCT split) AS splits FROM (SELECT sha256(text) AS text_sha256, split FROM clean_records) GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -108,7 +109,7 @@ def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql()}, k AS (SELECT source_ord, provided_token_count, coalesce(sum(provided_token_count) OVER (ORDER BY source_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tokens_before FROM corpus WHERE reason IS NULL) SELECT * FROM k WHERE tokens_before < 100000")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    kept = C.corpus(raw(spark, d)).where("reason is null").select("source_ord", "provided_token_count")
+    kept = written(C.corpus(raw(spark, d), text=False).where("reason is null").select("source_ord", "provided_token_count"), "kept")
     return ordered.budget_prefix(kept, "provided_token_count", "source_ord", 100_000)
 
 
@@ -121,7 +122,7 @@ _REC = corpus_sql()
 
 @query(f"WITH RECURSIVE {_REC}{_FOLD} SELECT source_ord, n AS packed_tokens, shard_index FROM fold")
 def shard_pack_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return C.sharded(C.corpus(raw(spark, d)), 20_000).select("source_ord", "packed_tokens", "shard_index")
+    return C.sharded(C.corpus(raw(spark, d), text=False), 20_000).select("source_ord", "packed_tokens", "shard_index")
 
 
 @query(f"""WITH RECURSIVE {_REC}{_FOLD}, s AS (SELECT c.*, f.shard_index FROM corpus c JOIN fold f USING (source_ord)),
@@ -129,20 +130,20 @@ g AS (SELECT shard_index, reason, count(*) AS n FROM s WHERE reason IS NOT NULL
 SELECT s.shard_index, min(source_ord) AS source_start, max(source_ord) + 1 AS source_end, count(*) AS source_records, count(*) FILTER (WHERE reason IS NULL) AS kept_records,
  sum(CASE WHEN reason IS NULL THEN provided_token_count ELSE 0 END)::BIGINT AS provided_tokens, coalesce(any_value(removed), '') AS removed FROM s LEFT JOIN gone ON gone.shard_index = s.shard_index GROUP BY 1""")
 def shard_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return C.shard_metadata(C.sharded(C.corpus(raw(spark, d)), 20_000))
+    return C.shard_metadata(C.sharded(written(C.corpus(raw(spark, d), text=False), "corpus"), 20_000))
 
 
 @query(f"""WITH RECURSIVE {_REC}{_FOLD}, m AS (SELECT shard_index, min(source_ord) AS a, max(source_ord) + 1 AS b FROM fold GROUP BY 1)
 SELECT shard_index, a AS source_start, b AS source_end, coalesce(a = lag(b) OVER (ORDER BY shard_index), true) AS contiguous, row_number() OVER (ORDER BY shard_index) - 1 = shard_index AS in_sequence FROM m""")
 def shard_contiguity(spark: SparkSession, d: str) -> DataFrame:
-    m = C.shard_metadata(C.sharded(C.corpus(raw(spark, d)), 20_000))
+    m = C.shard_metadata(C.sharded(written(C.corpus(raw(spark, d), text=False), "corpus"), 20_000))
     w = Window.orderBy("shard_index")  # one row per storage shard
     return m.select("shard_index", "source_start", "source_end", F.coalesce(F.col("source_start") == F.lag("source_end").over(w), F.lit(True)).alias("contiguous"), (F.row_number().over(w) - 1 == F.col("shard_index")).alias("in_sequence"))
 
 
 @query(f"WITH {corpus_sql()}, a AS (SELECT count(*) AS input, count(*) FILTER (WHERE reason IS NULL) AS kept, count(reason) AS removed, count(split) AS in_splits FROM corpus) SELECT *, input = kept + removed AS rows_conserved, kept = in_splits AS splits_conserved FROM a")
 def conservation_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return C.conservation(C.corpus(raw(spark, d)))
+    return C.conservation(C.corpus(raw(spark, d), text=False))
 
 
 @query("SELECT record_no, row_number() OVER (PARTITION BY split ORDER BY shard_index, line_number) - 1 AS ordinal, text_sha256 = sha256(text) AS digest_matches FROM clean_records")

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators.contracts import fingerprint
 from ..operators.ordered import running_before
+from ..session import written
 from ..sources.files import write_json
 
 #: Columns of the published records.
-RECORDS = "source_ord bigint, text_sha256 string, id string, text string, url string, language string, language_score double, quality_score int, provided_token_count bigint, reason string, split string, packed_tokens bigint, shard_index int"
+RECORDS = "source_ord bigint, text_sha256 string, id string, text string, url string, language string, language_score double, quality_score int, provided_token_count bigint, reason string, characters int, split string, packed_tokens bigint, shard_index int"
 
 
 def within_budget(rows: DataFrame, target: int) -> tuple[DataFrame, str]:
@@ -44,7 +45,7 @@ def build_corpus(raw: DataFrame, folder: str, cfg: C.CleanConfig, target: int, s
         return verify_corpus(raw.sparkSession, folder, mark)
     if stage.exists():
         shutil.rmtree(stage)  # an orphan of a build that did not end
-    rows, status = within_budget(C.corpus(raw, cfg), target)
+    rows, status = within_budget(written(C.corpus(raw, cfg), "corpus"), target)
     C.sharded(rows, shard_target).write.partitionBy("shard_index").parquet(f"{stage}/records")
     done = raw.sparkSession.read.schema(RECORDS).parquet(f"{stage}/records")
     manifest = describe(done, mark, status)
