@@ -1,71 +1,13 @@
-"""Session, shared-folder and hashing helpers of the training-data operators."""
+"""Table, hashing and offset helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-
-_local_root: str | None = None
-_written: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    global _local_root
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return f"file://{_local_root}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back.
-
-    This cuts the lineage with a table that outlives any executor, so later jobs neither recompute Python stages nor
-    depend on a lost executor's blocks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _written.append((spark, path))
-    table._siltstone_path = path
-    return table
-
+from ..session import discard, ship, spread, written
 
-def _remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made and that no later result reads."""
-    for t in tables:
-        path = t._siltstone_path
-        _written.remove((t.sparkSession, path))
-        _remove(t.sparkSession, path)
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session is gone already
-            return
-
-
-atexit.register(_drop_written)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +20,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+__all__ = ["MIX", "MIX2", "MIX3", "discard", "mix", "read", "ship", "small", "spread", "starts", "written"]
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX3 = np.uint64(0x165667B19E3779F9)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crosssplit, lines, neardup, packing, quality, sites, splits, tokenize, visual
-from .common import read, small, written
+from .common import read, small, spread, written
 
 
 def _publisher_components(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(read(spark, d, "source_records"), "source_ord", "text", k=3, threshold=0.6)
+    return neardup.near_duplicate_groups(spread(read(spark, d, "source_records").select("source_ord", "text")), "source_ord", "text", k=3, threshold=0.6)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judged(read(spark, d, "source_records"), read(spark, d, "common_words"))
+    return quality.judged(spread(read(spark, d, "source_records").select("source_ord", "text")), read(spark, d, "common_words"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cross(spark: SparkSession, d: str) -> DataFrame:
-    return crosssplit.cross_split_pairs(read(spark, d, "clean_records"), k=3, threshold=0.6)
+    return crosssplit.cross_split_pairs(spread(read(spark, d, "clean_records").select("record_no", "text", "split")), k=3, threshold=0.6)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rec = sites.with_site(read(spark, d, "source_records").select("source_ord", "url", "text", "crawled_at"), read(spark, d, "public_suffixes"))
+    rec = sites.with_site(spread(read(spark, d, "source_records").select("source_ord", "url", "text", "crawled_at")), read(spark, d, "public_suffixes"))
     return rec, lines.excessive_lines(rec)
 
 
@@ -79,12 +79,16 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(*_lines(spark, d))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encoded(read(spark, d, "documents"))
+    return tokenize.encoded(_documents(spark, d))
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
-    sizes = written(tokenize.token_counts(read(spark, d, "documents")), "sizes")
+    sizes = written(tokenize.token_counts(_documents(spark, d)), "sizes")
     return packing.packed(sizes, read(spark, d, "pack_profiles"))
 
 
@@ -93,11 +97,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return visual.same_looking_pairs(read(spark, d, "documents"))
+    return visual.same_looking_pairs(_documents(spark, d))
 
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
-    return visual.forms(read(spark, d, "documents"))
+    return visual.forms(_documents(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
