@@ -106,13 +106,14 @@ def packed(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str
     A document over the capacity is cut into pieces that fill a container each, and one for the rest; others are one
     piece.  A document of size 0 takes no space and is put, as a piece of 0, into a container of its own block.  Documents
     are dealt to blocks of about ``block`` by a hash of their key, so packing runs in as many tasks as data asks for and
-    no group grows with the data.  Null sizes count as 0; null keys and profiles without a positive capacity are ignored.
+    no group grows with the data.  Profiles are a short table of settings (at most 1000).  Null sizes count as 0; null keys and profiles without a positive capacity are ignored.
     """
     ship(sizes.sparkSession)
     clean = sizes.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(size).cast("int"), F.lit(0)).alias("n")).where("k is not null")
     blocks = max(1, -(-clean.count() // block))
-    caps = F.broadcast(profiles.select("profile", F.col("capacity_tokens").cast("int").alias("cap")).where("profile is not null and cap > 0").dropDuplicates(["profile"]))
-    tasks = clean.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).crossJoin(caps)
+    caps = profiles.select("profile", F.col("capacity_tokens").cast("int").alias("cap")).where("profile is not null and cap > 0").dropDuplicates(["profile"]).orderBy("profile").limit(1000).collect()
+    each = F.array(*[F.struct(F.lit(r["profile"]).alias("profile"), F.lit(r["cap"]).alias("cap")) for r in caps]) if caps else F.expr("cast(array() as array<struct<profile:string,cap:int>>)")
+    tasks = clean.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).select("*", F.explode(each).alias("_p")).select("k", "n", "block", "_p.*")
 
     def run(gkey: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         profile, b, cap = (g.as_py() for g in gkey)
