@@ -1,7 +1,8 @@
-"""Same or near-same records across splits: winnowed seeds, collinear chains, extension, coverage."""
+"""Same or near-same records across splits: posted prefixes of shingle sets, collinear chains, extension, coverage."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, ship, small, written
-from .neardup import COORDINATES, SIG_MATCHES, _digests
-from .overlap import join_postings, postings
+from .neardup import COORDINATES, _digests
+from .overlap import join_postings
 from .shingles import distinct_sorted, half_bytes, minhash, shingle_hashes, winnow, word_hashes
 
-#: Windows of WINDOW successive shingles; texts of at most SHORT shingles keep all.
+#: For coverage: windows of WINDOW successive shingles; texts of at most SHORT shingles keep all.
 WINDOW, SHORT = 12, 24
-#: A pair must share this part of the smaller expected number of seeds; at similarity 0.6 it shares about 0.7 of them.
-SEED_SHARE = 0.4
+#: Bits of the hash by which a side's shingles are noted, and by which they are counted; slices in which tasks send both.
+SEEN_BITS, COUNT_BITS, SLICES = 26, 20, 64
+#: Half-bytes of the signature that must agree before a pair is checked: under 14 of 48 agree with probability 0.000001 at similarity 0.6.
+SEED_MATCHES = 14
 #: A chain may jump over so many words, and drift by so many between the two texts.
 GAP, DRIFT = 60, 30
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, side, k: int, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """(id, side, ck, elems, need, sig) of each document with at least k words; side is 1 for train, 2 for evaluation."""
+def sketch(docs: DataFrame, text: str, side, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, counts): by shingle hash, which sides may hold it (bit 0 train, bit 1 evaluation) and about how often it occurs.
+
+    A shingle that both sides hold always has both bits.  Tasks send compressed slices, so at most a few bytes a shingle are shuffled.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts = [np.zeros(1 << SEEN_BITS, bool) for _ in range(2)], np.zeros(1 << COUNT_BITS, np.uint32)
+        for b in batches:
+            h, at = word_hashes(b.column(1).to_pylist())
+            flow, off = shingle_hashes(h, at, k)
+            both = np.repeat(np.asarray(b.column(0)), np.diff(off))
+            for j in range(2):
+                seen[j][flow[both == j + 1] >> np.uint64(64 - SEEN_BITS)] = True
+            counts += np.bincount(flow >> np.uint64(64 - COUNT_BITS), minlength=1 << COUNT_BITS).astype(np.uint32)
+        if not counts.any():
+            return
+        for j, whole in enumerate((*map(np.packbits, seen), counts)):
+            for i, x in enumerate(np.split(whole, SLICES)):
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([j], pa.int32()), "slice": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        kind = t.column("kind")[0].as_py()
+        parts = (np.frombuffer(zlib.decompress(x.as_py()), np.uint32 if kind == 2 else np.uint8) for x in t.column("part"))
+        whole = next(parts).copy()
+        for x in parts:
+            whole = whole + x if kind == 2 else whole | x
+        return pa.table({"kind": t.column("kind").slice(0, 1), "slice": t.column("slice").slice(0, 1), "part": pa.array([whole.tobytes()], pa.binary())})
+
+    form = "kind int, slice int, part binary"
+    t = docs.select(side.cast("tinyint").alias("side"), F.col(text).alias("text")).where("side is not null and text is not null").mapInArrow(part, form).groupBy("kind", "slice").applyInArrow(merge, form).toArrow()
+    got = {(j, i): x for j, i, x in zip(*(c.to_pylist() for c in t.columns))}
+    if not got:
+        return np.zeros(1 << SEEN_BITS, np.uint8), np.zeros(1 << COUNT_BITS, np.uint32)
+    whole = [b"".join(got[j, i] for i in range(SLICES)) for j in range(3)]
+    both = np.frombuffer(whole[0], np.uint8) & np.frombuffer(whole[1], np.uint8)
+    return both, np.frombuffer(whole[2], np.uint32)
+
+
+def prefixes(s: np.ndarray, off: np.ndarray, threshold: float, both: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the elements that it is posted under, and offsets.
+
+    Two sets of n and m elements at the threshold share at least threshold * n and threshold * m of them, so in one order
+    of all elements the first shared one stands among the first n - ceil(threshold * n) + 1 of either.  Elements that one
+    side alone holds come first in that order and are not posted, then rare ones.
+    """
+    n = np.diff(off)
+    at = s >> np.uint64(64 - SEEN_BITS)
+    two = (both[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+    rank = np.where(two > 0, counts[s >> np.uint64(64 - COUNT_BITS)].astype(np.int64) + 1, 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((s, rank, doc))
+    first = n - np.maximum(1, np.ceil(threshold * n - 1e-9)).astype(np.int64) + 1
+    keep = (np.arange(len(s)) - np.repeat(off[:-1], n) < np.repeat(first, n)) & (rank[order] > 0)
+    return s[order][keep], np.concatenate([[0], np.cumsum(keep)])[off]
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, side, k: int, threshold: float) -> DataFrame:
+    """(id, side, ck, elems, sig) of each document with at least k words; side is 1 for train, 2 for evaluation; elems are
+    the shingles under which it is posted."""
+    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, side, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, counts = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -35,23 +98,20 @@ def fingerprints(docs: DataFrame, key: str, text: str, side, k: int, window: int
             if not len(full):
                 continue
             off = np.append(off[full], off[-1])
-            values, _, w_off = winnow(flow, off, window, short)
-            elems, e_off = distinct_sorted(values, w_off)
             s, s_off = distinct_sorted(flow, off)
+            elems, e_off = prefixes(s, s_off, threshold, both, counts)
             sig = half_bytes(minhash(s, s_off, COORDINATES))
-            expected = np.minimum(np.diff(e_off), np.diff(s_off) * 2 // (window + 1))
-            need = np.maximum(1, np.ceil(expected * SEED_SHARE)).astype(np.int32)
             rows = pa.array(full)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(rows), b.column(1).take(rows), pa.array(_digests(s, s_off), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(e_off.astype(np.int32)), pa.array(elems.view(np.int64))), pa.array(need), pa.array([x.tobytes() for x in sig], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(e_off.astype(np.int32)), pa.array(elems.view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary()),
                 ],
-                names=["id", "side", "ck", "elems", "need", "sig"],
+                names=["id", "side", "ck", "elems", "sig"],
             )
 
     return docs.select(F.col(key).cast("bigint").alias("id"), side.cast("tinyint").alias("side"), F.col(text).alias("text")).where("id is not null and side is not null and text is not null").mapInArrow(
-        run, "id bigint, side tinyint, ck binary, elems array<bigint>, need int, sig binary"
+        run, "id bigint, side tinyint, ck binary, elems array<bigint>, sig binary"
     )
 
 
@@ -147,11 +207,11 @@ def cross_split_pairs(docs: DataFrame, key: str = "record_no", text: str = "text
     """
     ship(docs.sparkSession)
     side = F.when(F.col(split) == train, 1).when(F.col(split).isin(*evaluation), 2)
-    prints = written(fingerprints(docs, key, text, side, k), "fingerprints")
+    prints = written(fingerprints(docs, key, text, side, k, threshold), "fingerprints")
     reps = prints.groupBy("ck").agg(F.min("id").alias("rep"), F.expr("cast(bit_or(side) as tinyint)").alias("sides"))
     member = written(prints.select("id", "side", "ck").join(reps, "ck").select("id", "side", "rep", "sides"), "members")
     sets = prints.drop("side").join(member.where("id = rep").select("id", F.when(F.col("sides") == 3, F.col("id")).otherwise(-F.col("sides").cast("bigint")).alias("grp")), "id")
-    pairs = join_postings(postings(sets.select("id", "grp", "elems", "need", "sig")), COORDINATES // 2, SIG_MATCHES)
+    pairs = join_postings(sets.select(F.explode("elems").alias("key"), "id", "grp", "sig"), COORDINATES // 2, SEED_MATCHES)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     found = written(aligned(pairs, hashed_words(docs, key, text, ids), k, threshold), "aligned")
     discard(prints, pairs, ids)

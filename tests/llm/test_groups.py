@@ -187,3 +187,37 @@ def test_winnow_takes_the_least_of_each_window(w):
         one, chosen = s[off[d] : off[d + 1]], set(place[o[d] : o[d + 1]].tolist())
         for i in range(len(one) - w + 1):
             assert i + int(one[i : i + w].argmin()) in chosen
+
+
+def edited(rng, base, edits):
+    w = list(base)
+    for p in rng.sample(range(len(w)), edits):
+        w[p] = f"e{rng.randrange(10**6)}"
+    return w
+
+
+def test_cross_split_pairs_of_all_lengths_are_found(spark):
+    rng = random.Random(21)
+    rows, near = [], []
+    for n, edits in ((25, 2), (30, 2), (36, 3), (40, 3), (50, 4), (60, 5)):
+        for _ in range(150):
+            a = [f"v{rng.randrange(5000)}" for _ in range(n + 2)]
+            near.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a), "train"), (len(rows) + 1, " ".join(edited(rng, a, edits)), "test")]
+    df = spark.createDataFrame(rows, "record_no bigint, text string, split string")
+    got = {(r["a"], r["b"]) for r in crosssplit.cross_split_pairs(df, k=3, threshold=0.6).collect()}
+    s = {i: sets(t, 3) for i, t, _ in rows}
+    assert got == {(i, j) for i, j in near if similar(s[i], s[j])}
+
+
+def test_prefixes_meet(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    none = np.zeros(1 << crosssplit.SEEN_BITS - 3, np.uint8) - np.uint8(1), np.zeros(1 << crosssplit.COUNT_BITS, np.uint32)
+    for n in range(1, 60):
+        pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a, b = (np.sort(np.concatenate([pool[: (m := -(-3 * n // 4))], x[: n - m]])) for x in (pool[n:], pool[n + n // 2 :]))
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6:
+            v, o = crosssplit.prefixes(np.concatenate([a, b]), np.array([0, n, 2 * n]), 0.6, *none)
+            assert len(np.intersect1d(v[: o[1]], v[o[1] :]))
