@@ -3,7 +3,9 @@
 Documents carry a set of 64-bit elements (signature coordinate-value pairs, or fingerprints), the number of elements
 they must share with a partner, and a group; only documents of different groups are paired.  Each posts itself under its rarest elements only: with n elements of which t must be
 shared, the t - 1 most frequent ones are skipped, and no pair is lost.  An element that is still frequent is not posted
-by itself but with each later frequent element of the prefix, since a pair whose rarest shared element is frequent shares another frequent one.
+by itself but with each later frequent element of the prefix, since a pair whose rarest shared element is frequent and that shares
+two elements shares another frequent one; so the number to share must be one that a pair really reaches.  Overlap across splits
+posts frequent elements singly (crosssplit.prefixes).
 Lists that stay long are cut into blocks, those of a large group apart, and each pair of blocks that may hold a pair is
 a task of its own.
 """

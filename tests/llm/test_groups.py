@@ -210,6 +210,16 @@ def test_cross_split_pairs_of_all_lengths_are_found(spark):
     assert got == {(i, j) for i, j in near if similar(s[i], s[j])}
 
 
+def test_cross_split_pairs_of_frequent_shingles_are_found(spark):
+    rng = random.Random(22)
+    base = [f"h{i}" for i in range(28)]  # every shared shingle is in hundreds of documents
+    rows = [(i, " ".join(edited(rng, base, 1)), "train" if i % 2 else "test") for i in range(600)]
+    df = spark.createDataFrame(rows, "record_no bigint, text string, split string")
+    got = {(r["a"], r["b"]) for r in crosssplit.cross_split_pairs(df, k=3, threshold=0.6).collect()}
+    s = [sets(t, 3) for _, t, _ in rows]
+    assert got == {(i, j) for i in range(1, 600, 2) for j in range(0, 600, 2) if similar(s[i], s[j])}
+
+
 def test_prefixes_meet(spark):
     import numpy as np
 
