@@ -25,6 +25,8 @@ MATCHES = 5
 SIG_MATCHES = 18
 #: Bands of successive coordinates in which large groups of near-copies are looked for, and the least size of such a group.
 BANDS, HOT = 8, 512
+#: Documents of a block when all pairs inside a group are compared.
+SIDE = 2048
 
 
 def set_columns(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,41 +123,107 @@ def hot_links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int,
     return links
 
 
-def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): id -> rep, the least id with the same shingle set; and rep pairs at or above the threshold.
-
-    Copies are contracted to their least id before any pairing (partial minima, then one row a class), so a class that
-    holds a third of all rows is one document in the join.  A large group of near-copies is first linked to leaders; the
-    join then makes no pairs inside what these links connect, so of such a group the links to its leaders stand for all others.  Null
-    texts, and texts under k words, are in neither result.
+def _close(v: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of left and right (i < j, if both are the same rows) at the threshold; exact, by counting common elements in matrices."""
+    n = np.diff(off)
+    doc = np.repeat(np.arange(len(n)), n)
+    same = left is right
+    cut = lambda rows: [rows[i : i + 512] for i in range(0, len(rows), 512)]
+    for x, one in enumerate(cut(left)):
+        for two in cut(right)[x * same :]:
+            part = [np.isin(doc, r) for r in (one, two)]
+            every = np.intersect1d(v[part[0]], v[part[1]])
+            common = np.zeros((len(one), len(two)), np.float32)
+            for lo in range(0, len(every), 8192):
+                u = every[lo : lo + 8192]
+                m = []
+                for r, p in zip((one, two), part):
+                    at = np.minimum(np.searchsorted(u, v[p]), len(u) - 1)
+                    hit = u[at] == v[p]
+                    m.append(np.zeros((len(r), len(u)), np.float32))
+                    m[-1][np.searchsorted(r, doc[p][hit]), at[hit]] = 1
+                common += m[0] @ m[1].T
+            i, j = np.nonzero(common / (n[one][:, None] + n[two] - common.astype(np.float64)) >= threshold - 1e-12)
+            i, j = one[i], two[j]
+            ok = i < j if same else slice(None)
+            yield i[ok], j[ok]
+
+
+def inside(docs: DataFrame, key: str, text: str, groups: DataFrame, k: int, threshold: float, count: bool) -> DataFrame:
+    """All pairs (a, b) inside the groups (id, component) at the threshold, or with count the number of them (id, links).
+
+    A group's documents are dealt to blocks, each pair of blocks is a task, and counts leave it without the pairs.
     """
+    size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("g"))
+    placed = groups.join(small(size, 100_000), "component").select("component", "id", F.pmod(F.xxhash64("id"), "g").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("y"))
+    rows = placed.join(shingle_sets(docs, key, text, groups.select("id"), k), "id").select("component", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), (F.col("x") > F.col("y")).alias("second"), "id", "sh")
+
+    def compare(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks().to_batches()[0]
+        ids, second, sh = np.asarray(t.column("id")), np.array(t.column("second").to_pylist(), bool), t.column("sh")
+        off = sh.offsets.to_numpy().astype(np.int64)
+        v, off = sh.values.to_numpy()[off[0] : off[-1]], off - off[0]
+        one, two = np.flatnonzero(~second), np.flatnonzero(second)
+        apart = table.column("lo")[0] != table.column("hi")[0]
+        links, found = np.zeros(len(ids), np.int64), [(ids[:0], ids[:0])]
+        for i, j in _close(v, off, one, two if apart else one, threshold):
+            if count:
+                links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            else:
+                found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        if count:
+            return pa.table({"id": ids, "links": links})
+        return pa.table({c: np.concatenate([x[i] for x in found]) for i, c in enumerate("ab")})
+
+    out = rows.groupBy("component", "lo", "hi").applyInArrow(compare, "id bigint, links bigint" if count else "a bigint, b bigint")
+    return out.groupBy("id").agg(F.sum("links").alias("links")) if count else out
+
+
+def _linked(docs: DataFrame, key: str, text: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """(membership, links, hot, groups): links between documents of different large groups or outside them; and if there are large
+    groups, the links to leaders that connect them, and their documents (id, component), else None."""
     ship(docs.sparkSession)
     sig = written(signatures(docs, key, text, k), "signatures")
     reps = sig.groupBy("ck").agg(F.min("id").alias("rep"))
     member = written(sig.select("id", "ck").join(reps, "ck").select("id", "rep"), "members")
     classes = sig.join(member.where("id = rep").select("id"), "id", "left_semi")
     hot = hot_links(docs, key, text, classes, k, threshold)
+    groups = None
     if hot is None:
         sets = classes.withColumn("grp", F.col("id"))
     else:
-        comp = connected_components(hot, "a", "b").select(F.col("node").alias("id"), "component")
-        sets = classes.join(comp, "id", "left").withColumn("grp", F.coalesce("component", "id"))
+        groups = written(connected_components(hot, "a", "b").select(F.col("node").alias("id"), "component"), "groups")
+        sets = classes.join(groups, "id", "left").withColumn("grp", F.coalesce("component", "id"))
     sets = sets.select("id", "grp", "elems", F.lit(MATCHES).alias("need"), "sig")
     sets = sets if hot is None else written(sets, "grouped")
     pairs = join_postings(postings(sets, by_group=True), COORDINATES // 2, SIG_MATCHES)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    checked = similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold).select("a", "b")
-    links = written(checked if hot is None else checked.union(hot).distinct(), "links")
+    links = written(similar_pairs(pairs, shingle_sets(docs, key, text, ids, k), threshold).select("a", "b"), "links")
     discard(sig, pairs, ids)
-    return member, links
+    return member, links, hot, groups
 
 
-def near_duplicate_groups(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, rep, links, first): one row per document with at least k words; first is the least id of its group, links the
-    number of its class's checked links (inside a large group of near-copies, of those to leaders)."""
-    member, links = near_duplicates(docs, key, text, k, threshold)
-    comp = connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    info = comp.withColumnRenamed("node", "rep").join(degree, "rep")
-    return member.join(small(info, 50_000), "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("first"))
+def near_duplicates(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): id -> rep, the least id with the same shingle set; and rep pairs at or above the threshold.
 
+    Copies are contracted to their least id before any pairing (partial minima, then one row a class), so a class that
+    holds a third of all rows is one document in the join.  A large group of near-copies is first linked to leaders; the
+    join then makes no pairs inside what these links connect, and those pairs are compared block by block.  Null texts, and
+    texts under k words, are in neither result.
+    """
+    member, links, _, groups = _linked(docs, key, text, k, threshold)
+    return member, links if groups is None else links.union(inside(docs, key, text, groups, k, threshold, False))
+
+
+def near_duplicate_groups(docs: DataFrame, key: str = "source_ord", text: str = "text", k: int = 5, threshold: float = 0.8, count: bool = True) -> DataFrame:
+    """(id, rep, links, first): one row per document with at least k words; first is the least id of its group, links the
+    number of its class's links, which only count asks for (inside large groups every pair is compared for it)."""
+    member, links, hot, groups = _linked(docs, key, text, k, threshold)
+    info = connected_components(links if hot is None else links.union(hot), "a", "b").withColumnRenamed("node", "rep")
+    if count:
+        ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        if groups is not None:
+            ends = ends.union(inside(docs, key, text, groups, k, threshold, True).withColumnRenamed("id", "rep"))
+        info = written(info.join(ends.groupBy("rep").agg(F.sum("links").alias("links")), "rep"), "info")
+    every = member.join(small(info, 50_000), "rep", "left")
+    return every.select("id", "rep", *[F.coalesce("links", F.lit(0)).alias("links")] * count, F.coalesce("component", "rep").alias("first"))

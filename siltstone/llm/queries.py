@@ -30,16 +30,16 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_shares(splits.grouped_splits(_publisher_components(spark, d), "record_no", targets), targets)
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(spread(read(spark, d, "source_records").select("source_ord", "text")), "source_ord", "text", k=3, threshold=0.6)
+def _near(spark: SparkSession, d: str, count: bool) -> DataFrame:
+    return neardup.near_duplicate_groups(spread(read(spark, d, "source_records").select("source_ord", "text")), "source_ord", "text", k=3, threshold=0.6, count=count)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).where("first < id").select(F.col("first").alias("first_ord"), F.col("id").alias("source_ord"))
+    return _near(spark, d, False).where("first < id").select(F.col("first").alias("first_ord"), F.col("id").alias("source_ord"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).select(F.col("id").alias("source_ord"), F.col("rep").alias("class_ord"), "links", F.col("first").alias("first_ord"))
+    return _near(spark, d, True).select(F.col("id").alias("source_ord"), F.col("rep").alias("class_ord"), "links", F.col("first").alias("first_ord"))
 
 
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -231,3 +231,21 @@ def test_prefixes_meet(spark):
         if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6:
             v, o = crosssplit.prefixes(np.concatenate([a, b]), np.array([0, n, 2 * n]), 0.6, *none)
             assert len(np.intersect1d(v[: o[1]], v[o[1] :]))
+
+
+def test_links_inside_large_groups_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup, "SIDE", 50)
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(edited(rng, base, i % 12)) for i in range(700)] + [" ".join(base[:85] + [f"h{i}" for i in range(20)]), " ".join(base)]
+    df = spark.createDataFrame(list(enumerate(texts)), "source_ord bigint, text string")
+    s = {i: sets(t, 3) for i, t in enumerate(texts)}
+    rep: dict = {}
+    for i in s:
+        rep.setdefault(frozenset(s[i]), i)
+    want = {(i, j) for i, j in combinations(sorted(rep.values()), 2) if similar(s[i], s[j])}
+    links = neardup.near_duplicates(df, k=3, threshold=0.6)[1].collect()
+    assert {(r["a"], r["b"]) for r in links} == want and len(links) == len(want)
+    got = {r["id"]: r["links"] for r in neardup.near_duplicate_groups(df, k=3, threshold=0.6).collect()}
+    assert got == {i: sum(rep[frozenset(s[i])] in p for p in want) for i in s}
