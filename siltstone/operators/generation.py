@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,3 +96,31 @@ def longest_repeat(tokens: Column, most: int = 32) -> Column:
 
     hits = F.filter(F.sequence(F.lit(1), F.lit(most)), repeated)
     return F.coalesce(F.array_max(hits), F.lit(0))
+
+
+def _longest(t: np.ndarray) -> int:
+    """Longest run that occurs twice: ranks of runs by doubling, then the greatest length by its bits."""
+    ranks = [np.unique(t, return_inverse=True)[1].astype(np.int64)]  # of runs of 1, 2, 4, ... tokens
+    while len(np.unique(ranks[-1])) < len(ranks[-1]):
+        r, step = ranks[-1], 1 << len(ranks) - 1
+        if len(r) <= step:
+            break
+        ranks.append(np.unique(r[:-step] * (len(t) + 1) + r[step:], return_inverse=True)[1].astype(np.int64))
+    best, run = 0, np.zeros(len(t), np.int64)  # run: ranks of the runs of best tokens
+    for j in reversed(range(len(ranks))):
+        n = len(t) - best - (1 << j) + 1
+        if n > 1:
+            longer = np.unique(run[:n] * (len(t) + 1) + ranks[j][best : best + n], return_inverse=True)[1].astype(np.int64)
+            if longer.max() + 1 < n:
+                best, run = best + (1 << j), longer
+    return best
+
+
+def longest_repeats(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, longest): length of the longest run of the whole token list that occurs twice (possibly overlapping), 0 if none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_longest(np.asarray(t.values)) if t.is_valid else None for t in b.column(1)], pa.int32())], names=[key, "longest"])
+
+    return rows.select(F.col(key).cast("bigint").alias(key), tokens).mapInArrow(run, f"{key} bigint, longest int")

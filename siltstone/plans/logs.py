@@ -5,7 +5,7 @@ The driver has no such logs, so rows are derived from events and embeddings: eac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -254,7 +254,16 @@ _GEN = "gen AS (SELECT record_no, list_transform(string_split(lower(text), ' ')[
 SELECT record_no, CASE WHEN len(grams) > 0 THEN round(len(list_distinct(grams)) / len(grams), 8) END AS distinct_ngrams, round(len(list_distinct(ids)) / n, 8) AS distinct_tokens, round(abs(entropy), 6) AS entropy FROM g JOIN h USING (record_no)""")
 def generation_diversity(spark: SparkSession, d: str) -> DataFrame:
     """Diversity of id lists made from the lengths and first letters of each text's first 64 words (a stand-in for generated tokens)."""
-    words = F.slice(F.split(F.lower("text"), " "), 1, 64)
+    return _diversity(spark, d, F.slice(F.split(F.lower("text"), " "), 1, 64))
+
+
+@query()
+def generation_diversity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """generation_diversity over all words of each text."""
+    return _diversity(spark, d, F.split(F.lower("text"), " "))
+
+
+def _diversity(spark: SparkSession, d: str, words: Column) -> DataFrame:
     ids = F.transform(words, lambda w: (F.length(w) * 31 + F.ascii(F.concat(w, F.lit("a"))) % 7).cast("int"))
     s = table(spark, d, "clean_records").where("text is not null").select("record_no", ids.alias("ids")).select("record_no", G.diversity(F.col("ids")).alias("s")).select("record_no", "s.*")
     return s.select("record_no", *[F.round(c, 8).alias(c) for c in ("distinct_ngrams", "distinct_tokens")], F.round(F.abs("entropy"), 6).alias("entropy"))

@@ -240,3 +240,9 @@ SELECT t.record_no, coalesce(max(CASE WHEN hit THEN n END), 0)::INT AS longest F
 def generation_longest_repeat(spark: SparkSession, d: str) -> DataFrame:
     """Longest repeated run, up to 8, in the first 48 ids of each document (the length of a generated sample)."""
     return _docs(spark, d).select("record_no", G.longest_repeat(F.slice("tokens", 1, 48), 8).alias("longest"))
+
+
+@query()
+def generation_longest_repeat_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Longest repeated run of each document's whole id list, of any length."""
+    return G.longest_repeats(_docs(spark, d), "record_no", "tokens")
