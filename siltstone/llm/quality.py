@@ -10,30 +10,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, starts, written
+from .common import MIX2, mix, ship, starts, written
 
 KINDS = ("prose", "list", "table", "junk")
 #: Features of a passage, in the order of the mixture's columns.
 FEATURES = ("common", "variety", "symbols", "digits", "capitals", "word_length", "illegible", "breaks", "cells", "punctuation")
 #: Passages are about so many tokens; a line of LINE tokens or more is never joined to its neighbours.
 PASSAGE, LINE, SPLIT = 14, 11, 34
+#: Prior of a component's covariance: SPREAD times the identity, with the weight of SHRINK average components.
+SHRINK, SPREAD = 1.0, 0.3
 
-_STRIP = "\"'“”‘’«»„‚‹›()[]{}<>.,;:!?…¿¡-–—*•·"
-_END = re.compile(r"[.!?…。]+[\"'”’»)\]]*$")
-_VOWEL = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœāēīōūаеёиоуыэюя]", re.I)
+_STRIP = "\"'“”‘’«»„‚‹›「」『』()[]{}<>.,;:!?…¿¡。、！？，؟،؛-–—*•·"
+_END = re.compile(r"[.!?…。！？؟;·]+[\"'”’»)\]」』]*$")
 _PART = re.compile("['’\\-‐‑]")
+# Letters (without marks) that carry a syllable in the scripts that write vowels.
+_VOWELS = frozenset("aeiouyæœøıəɛɔ" "аеиоуыэюяієѣўөү" "αεηιουω")
+# Closed-class words of further languages, beside the table of common words.
+CLOSED = {
+    "ar": "في من على إلى أن كان هذا هذه التي الذي لم لا ما هو هي عن مع كل بعد ثم",
+    "cs": "se na že je v to jako ale které jsou byl podle",
+    "el": "και το η ο να του της τα την των με που από για δεν είναι στο στη ένα μια τον",
+    "fi": "ja on ei että se oli hän mutta kun jos niin kuin",
+    "he": "של את על לא הוא היא כי גם עם זה אל היה",
+    "hu": "a az és hogy nem is egy volt ez de mert csak már még meg aki ha után",
+    "it": "il di che la è un per non una sono con del della ma come più nel gli",
+    "nl": "de het een van en dat niet is op te met voor er maar die aan",
+    "pl": "i w się na nie że do to jest z jak był ale po",
+    "pt": "o de que e do da em um para não uma os com mais como mas",
+    "ro": "și în de la cu nu că este pe un o care din",
+    "sv": "och att det som en på är av för med den till inte",
+    "tr": "bir ve bu da de için ile çok ne ama daha olan gibi",
+    "vi": "và của là có không được một cho trong người những đã",
+}
+# Scripts without blanks between words, and how their grammatical parts are known.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff]")
+_PIECES = re.compile("(?:[\u3041-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]{1,2}|[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{1,5}|[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff。、！？，]+)[。、！？，]*|[。、！？，]+")
+_GRAMMAR = {
+    "ja": re.compile("^[\u3041-\u309f]+$"),
+    "ko": re.compile("[\uac00-\ud7a3](?:은|는|이|가|을|를|에|의|도|로|와|과|고|서|다|한|며|면|지|요|까|던|들)$"),
+    "th": re.compile("ที่|และ|ของ|เป็น|ใน|ไม่|ได้|ว่า|การ|มี"),
+    "zh": re.compile("[的是在了不有和这這也就他她我们們与與为為着地得]"),
+}
 _CELL = re.compile("\t|\\|| {3,}|;|»|>|,(?=\\S)")
 
 
 class _Tokens(dict):
     """token -> row of the feature table; languages are bits of the common-word mask."""
 
-    def __init__(self, common: dict[str, int]):
+    def __init__(self, common: dict[str, int], grammar: list[tuple[re.Pattern, int]]):
         super().__init__()
-        self.common, self.rows = common, []
+        self.common, self.grammar, self.rows = common, grammar, []
+        self.masks: dict[int, int] = {0: 0}
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_STRIP)
@@ -42,6 +72,10 @@ class _Tokens(dict):
         if not mask and ("'" in low or "’" in low or "-" in low):
             for part in _PART.split(low):
                 mask |= self.common.get(part, 0)
+        if not mask and core > "\u0e00":
+            for pattern, bit in self.grammar:
+                if pattern.search(core):
+                    mask |= bit
         if core.isalpha():
             letters, digits = len(core), 0
         elif core.isdecimal():
@@ -53,18 +87,25 @@ class _Tokens(dict):
         if letters + digits < len(core) or len(core) < len(token):
             signs = sum(not (c.isalnum() or c in _STRIP or unicodedata.category(c) in ("Mn", "Mc")) for c in token)
         word = letters > 0 and letters >= digits
-        inner = len(core) - letters - digits - sum(c in "'’-‐‑" for c in core)
-        bad = word and (inner > 0 or digits > 0 or len(low) > 22 or (letters > 2 and not _VOWEL.search(low))) or "�" in token or (not word and not digits and len(token) > 2)
+        inner = len(core) - letters - digits - sum(c in "'’-‐‑\u200c\u200d" for c in core)
+        bad = word and (inner > 0 or digits > 0 or len(low) > 22 or (letters > 2 and not spoken(low))) or "�" in token or (not word and not digits and len(token) > 2)
+        dense = 1 + (core >= "\u3041") * (0.5 if core < "\u3100" else 1.0)  # a syllable or word sign stands for more letters
         self.rows.append(
             (
-                mask, float(word), float(letters + digits > 0), signs / max(1, len(token)), float(digits > letters), float(word and core[:1].isupper() and not (len(core) > 1 and core.isupper())),
-                float(letters if word else 0), float(bool(bad)), float(bool(_END.search(token))), float(hash_small(low) if mask else 0),
+                self.masks.setdefault(mask, len(self.masks)), float(word), float(letters + digits > 0), signs / max(1, len(token)), float(digits > letters), float(word and core[:1].isupper() and not (len(core) > 1 and core.isupper())),
+                float(letters * dense if word else 0), float(bool(bad)), float(bool(_END.search(token))), float(hash_small(low) if mask else 0),
             )
         )
         i = self[token] = len(self.rows) - 1
         return i
 
 
+def spoken(word: str) -> bool:
+    """Whether a lower-case word can be read: one in Latin, Greek or Cyrillic letters has a vowel; other scripts are taken as they are."""
+    letters = [c for c in unicodedata.normalize("NFD", word) if c.isalpha()]
+    return any(c in _VOWELS for c in letters) or any("\u0530" <= c < "\u1e00" or c >= "\u2000" for c in letters)
+
+
 def hash_small(word: str) -> int:
     h = 7
     for c in word:
@@ -109,8 +150,9 @@ def passages(lines: list[list[str]]) -> list[tuple[int, int, int]]:
 class Measure:
     """Turns texts into passages with features and per-document statistics."""
 
-    def __init__(self, common: dict[str, int], languages: int):
-        self.tokens, self.languages, self.common = _Tokens(common), languages, common
+    def __init__(self, common: dict[str, int], languages: list[str]):
+        grammar = [(p, 1 << languages.index(c)) for c, p in _GRAMMAR.items()]
+        self.tokens, self.languages, self.common = _Tokens(common, grammar), languages, common
         self.table = np.zeros((0, 10))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +166,8 @@ class Measure:
         for i, t in enumerate(texts):
             raw = t.splitlines()
             split = [x.split() for x in raw]
+            if _UNSPACED.search(t):
+                split = [[p for w in x for p in (_PIECES.findall(w) if _UNSPACED.search(w) else (w,))] for x in split]
             base = len(every)
             for tok in split:
                 every += tok
@@ -151,9 +195,11 @@ class Measure:
         off = starts(count)
         mask = f[:, 0].astype(np.int64)
         sums = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[off])
-        per_language = np.stack([sums((mask >> b) & 1) for b in range(self.languages)], 1)
-        best = per_language.argmax(1)
-        hit = ((mask >> np.repeat(best, count)) & 1).astype(float)
+        kinds = len(self.tokens.masks)
+        of = np.repeat(np.arange(len(texts)), count)
+        bits = (np.array(list(self.tokens.masks))[:, None] >> np.arange(len(self.languages))) & 1
+        best = (np.bincount(of * kinds + mask, minlength=len(texts) * kinds).reshape(-1, kinds) @ bits).argmax(1)
+        hit = bits[mask, best[of]].astype(float)
         p = np.array(begin), np.array(end)
         cum = lambda v: (lambda c: c[p[1]] - c[p[0]])(np.concatenate([[0.0], np.cumsum(v)]))
         n = (p[1] - p[0]).astype(float)
@@ -169,29 +215,51 @@ class Measure:
         return np.array(doc, np.int64), cum(f[:, 2]).astype(np.int64), x, stats
 
 
-# Inspected examples: a kind and a text that was read and judged.
+# Inspected examples: a kind and a text that was read and judged.  They name the components; they neither start the fit nor weigh in it.
 EXAMPLES = [
     ("prose", "The river rose slowly after the storm, and by morning the lower fields were under water. People from the village moved their animals to the hill."),
     ("prose", "When you heat the metal, it expands a little, which is why the bridge has gaps between its plates. Many of these gaps are covered in winter."),
     ("prose", "nobody in the town knew that the old clock could still be repaired\nuntil a visitor from the coast\nopened it and showed them how each wheel\nmoves the next one"),
+    ("prose", "we waited for them until the lamps were lit, but none of the boats that had left in the morning came back to the harbour before it was dark"),
     ("prose", "1. Most people believe that the stars are small, but they are only very far away.\n2. If it rains after this, the roots can hold more water than they did before."),
+    ("prose", "a) You must first let the clay dry in the shade.\nb) Then it is fired for two days.\nc) Do not open the door before it is cold, or all of it will crack."),
+    ("prose", "- The mill was built in 1804 by two brothers from the coast.\n- It burned down twice, and each time they built it again.\n- Nobody knows who owned it after that."),
+    ("prose", "> \"I never saw a wall like this,\" said the mason, \"and I have seen most of them.\"\n> \"Then you have not been to our valley,\" she answered."),
     ("prose", "EACH OF THE PILOTS MUST LEARN TO READ THE WIND BEFORE THE FIRST FLIGHT. IN SHORT, THERE IS NO WAY AROUND IT."),
+    ("prose", "If p = 12 and q = 30, then p + q = 42, and the rule of Holt holds for all 9 pairs (see Brandt, 1911)."),
+    ("prose", "For n = 7 and m = 4 we get n - m = 3, so that the law of Sanders is true for each of the 15 cases (see Albrecht, 1876)."),
+    ("prose", "Let x be 25 and y be 16. Then x + y = 41, which is why 41 of the 60 squares (see Moritz, 1902) stay empty."),
+    ("prose", "It took the miller nine years to build the second\nwheel, and when it was done nobody could say why\nthe water did not turn it. Many of those who came\nto see it left before the evening."),
+    ("prose", "The first plan was to move it to the other side of\n\nthe valley, but each of the stones was too heavy for\n\nthe carts that they had in 1804. If you walk there today,\n\nyou can still find the marks of the wheels."),
+    ("prose", "In 1822 the people of Holt built 40\nbridges to reach their new market Most\nvisitors learn to cross the river before\nthey see the town As Brandt put it, the\nwall is high but the gates are open"),
+    ("prose", "The school at Marlow keeps 512\n\nold maps of the coast Neither the paper\n\nnor the ink is weakened by the damp\n\nToday the children of Holt use fewer\n\nmaps than they did in 1850"),
+    ("prose", "Albrecht and Moritz drew the northern\ncoast of Brenn and counted its rocks\nWhat would happen to the boats if every\nrock were marked? Some masters believe\nthat it would help only a little"),
+    ("prose", "Sanders drew 25 plans of the tower, and\nno two of them were alike In 1733 half of\nthe stones of Marlow were sold, and the\nrest of them still lie near the river"),
     ("prose", "Depuis trois ans, la petite école du village accueille des enfants qui viennent de la montagne, mais elle est trop étroite pour tous. Selon le maire, il faut en construire une autre."),
+    ("prose", "Cette maison n'est pas grande, mais elle\nest assez claire pour que les enfants\npuissent y lire jusqu'au soir. Selon eux,\nil y a plus de 30 livres."),
+    ("prose", "En 1712 les habitants de Brenn ont\nconstruit un pont pour leurs voisins La\nplupart des marins pensent que le phare\nn'est pas assez haut"),
     ("prose", "Seit dem Winter ist die alte Brücke über den Fluss nicht mehr offen, und die Schüler gehen nun auf dem langen Weg nach Hause. Warum sie brach, weiß bis heute keiner."),
     ("prose", "Für die Kinder aus dem Dorf war der Garten im Jahr 1910 ganz neu. Wer die Mauer kennt, findet dort noch heute 12 Namen von Arbeitern."),
     ("prose", "Im Herbst 1802 baute Merrow eine lange Mauer zwischen Ashmoor und dem See. Nach ihm wurde auch die Straße benannt, obwohl er nie dort wohnte."),
+    ("prose", "Der Weg über den Berg ist im Winter\nnicht offen, und wer ihn trotzdem geht,\nmuss mit dem Schnee und dem Wind rechnen."),
     ("prose", "La estación de Westley recibió a 40 viajeros en el año 1921. ¿Por qué el tren de Merrow no llegó a la plaza del pueblo?"),
     ("prose", "Según los vecinos, la lluvia de este año fue más fuerte que la del año pasado, pero nadie perdió su casa. También se salvaron los árboles de la plaza."),
+    ("prose", "Los barcos que salen del puerto por la\nmañana no vuelven hasta la noche, y por\neso nadie los espera en la playa"),
     ("prose", "В старом доме на берегу реки жил учитель, который знал все песни этого края. Он не был богат, но у него всегда были гости."),
-    ("prose", "It took the miller nine years to build the second\nwheel, and when it was done nobody could say why\nthe water did not turn it. Many of those who came\nto see it left before the evening."),
-    ("prose", "The first plan was to move it to the other side of\n\nthe valley, but each of the stones was too heavy for\n\nthe carts that they had in 1804. If you walk there today,\n\nyou can still find the marks of the wheels."),
-    ("prose", "Der Weg über den Berg ist im Winter\nnicht offen, und wer ihn trotzdem geht,\nmuss mit dem Schnee und dem Wind rechnen."),
-    ("prose", "Cette maison n'est pas grande, mais elle\nest assez claire pour que les enfants\npuissent y lire jusqu'au soir. Selon eux,\nil y a plus de 30 livres."),
-    ("list", "Share this page: Email | Print | Copy link\nRelated lessons\nFurther reading\nComments (12)\nViews: 310 | Likes: 8"),
+    ("prose", "В 1840 году жители города построили\nмост через реку, но весной вода его\nунесла Никто не знает, почему он не\nвыдержал"),
+    ("prose", "Οι άνθρωποι του χωριού δεν ήξεραν από πού έρχεται το νερό, και γι' αυτό έχτισαν ένα μικρό τοίχο κοντά στην πηγή. Από τότε δεν έχει πλημμυρίσει."),
+    ("prose", "A régi malom már nem működik, de a falu lakói még mindig emlékeznek rá. Azt mondják, hogy egy nagy vihar után senki sem javította meg."),
+    ("prose", "ذهب الرجل إلى السوق في الصباح ولم يجد أحدا هناك. بعد ذلك عاد إلى البيت وهو لا يعرف ما الذي كان قد حدث في المدينة."),
+    ("prose", "昔この村には大きな水車がありました。しかし川の流れが変わったので、今ではだれもそれを使っていません。子どもたちはそこで遊びます。"),
+    ("prose", "옛날에 이 마을에는 큰 물레방아가 있었다. 그러나 강의 흐름이 바뀌어서 지금은 아무도 그것을 쓰지 않는다. 아이들은 거기에서 논다."),
+    ("prose", "这个村子里的人都知道那座桥的故事。他说桥是在很久以前修的，但是没有人记得是谁修的。"),
+    ("prose", "De oude molen aan de rivier werd in de winter niet gebruikt, maar de boeren van het dorp hielden hem toch in goede staat."),
+    ("list", "Home | About us | Contact | Shop\nOpening hours (Mon - Fri)\nNewsletter\nBasket (3) | Wish list (0)\nSign in | Register"),
     ("list", "- Copper kettles\n- Bowls of Ashmoor (1780)\n- Cups, plain and painted\n- Silver spoon\n- Trays of Westley\n- Glass, blown and cut"),
     ("list", "01 - Lamps of Kerrowick (1702)\n02 - Small lamp\n03 - Lanterns, brass and tin\n04 - Wicks of Dunmere\n05 - Candles, long and short"),
     ("list", "1. Lamps of Kerrowick (1702)\n2. Bowls, painted and plain\n3. Lanterns, brass and tin\n4. Small lamp\n5. Wicks of Dunmere (1811)\n6. Candles, long and short"),
     ("list", "1. Bowls, painted and plain\n2. Lanterns, brass and tin\n3. Candles, long and short\n4. Kettles of Ashmoor (1690)"),
+    ("list", "Lanterns, brass and tin\nSmall lamp\nWicks of Dunmere (1811)\nCandles, long and short\nLamps, old and new\nKettles of Ashmoor\nPainted bowl"),
     ("list", "• Copper kettles of Ashmoor\n• Bowls, painted and plain\n• Lanterns of Westley\n• Candles, long and short\n• Spoons of Holt"),
     ("list", "a) Silver spoon\nb) Kettles of Ashmoor (1780)\nc) Trays, plain and painted\nd) Copper bowl\ne) Lamps of Westley (1699)"),
     ("list", "Silver spoon ........ 12.50\nCopper bowl ...... 104.00\nBrass lamp ............ 33.75\nPainted cup .... 8.20"),
@@ -201,6 +269,7 @@ EXAMPLES = [
     ("list", "Silver spoon » Cups, plain and painted » Kettles of Ashmoor » Small tray » Glass, cut and blown » Brass lamp"),
     ("list", "Contents\nThe Silver Spoon and the Kettles of Ashmoor\nWhy the Copper Kettle matters: Bowls at Westley\nLesson: Painted Cup, Trays and Dunmere"),
     ("list", "Brindel, 12, 45, 79\nCorvane, 3, 18, 220\nHaldric, 9, 57\nJorvec, 101, 144, 160\nMerrow, 8"),
+    ("list", "銅のやかん\n青い茶碗\n木の盆\n銀匙\n硝子杯\n竹籠"),
     ("table", "Kettle\tBowl\tSpoon\tCup\nAshmoor\t441\t12.90\t7345\nWestley\t8831\t77\t320.10\nDunmere\t65\t901\t4"),
     ("table", "| Kettle | Bowl | Spoon |\n| --- | --- | --- |\n| Ashmoor | 441 | 12.9 |\n| Westley | 88 | Corvane |\n| 31 | 77 | 902 |"),
     ("table", "Kettle,Bowl,Spoon,Cup\nAshmoor,44123,Brindel,901\nWestley,883,77.4,Corvane\nDunmere,19002,56,3.5"),
@@ -214,6 +283,7 @@ EXAMPLES = [
     ("junk", "Ð¡Ñ‚Ð°Ñ€Ñ‹Ð¹ Ð´Ð¾Ð¼ ÑÑ‚Ð¾Ð¸Ñ‚ Ð½Ð° Ð±ÐµÑ€ÐµÐ³Ñƒ Ñ€ÐµÐºÐ¸ Ð¸ Ð½Ð¸ÐºÑ‚Ð¾ Ð½Ðµ Ð¶Ð¸Ð²Ñ‘Ñ‚"),
     ("junk", "Th, r|v;r r~se sl0w`y aft,r t|e st~rm, ^nd b. m;rn|ng th, l~w,r fi^lds w.re u`d;r w0t|r ^nd n~b,dy l;ft"),
     ("junk", "Ashmoor westley dunmere kettle kerrowick stanmere holt brindel spoon corvane?\nWestley haldric dunmere ashmoor merrow jorvec bowl stanmere kerrowick!"),
+    ("junk", "Holt stanmere merrow kettle brindel jorvec haldric open copper westley.\nDunmere spoon corvane lift kerrowick tray glass ashmoor bowl carve!"),
     ("junk", "kettle mmxz bowl lkwn spoon tray pqrv kettle mmxz cup bowl lkwn kettle mmxz spoon tray pqrv cup kettle"),
     ("junk", "hhhhee\ufffdwk?b\ufffd ccccoh\ufffdl?rr dd?qc?ssrr\ufffd  n\ufffdxcutuuu qizzo\ufffdf?cc\ufffdelp n\ufffdtt\ufffdvvss"),
     ("junk", "spoon spoon spoon spoon spoon spoon spoon spoon kettle kettle kettle kettle kettle kettle kettle"),
@@ -253,30 +323,37 @@ def responsibilities(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray
     return _shares(_quadratic((x - model["centre"]) / model["scale"]), _coefficients(model))
 
 
-def common_mask(words: DataFrame) -> tuple[dict[str, int], int]:
-    """word -> bit mask of languages, of the common-word list (a fixed table of words a language, not corpus data)."""
-    rows = words.select("language", "word").na.drop().distinct().limit(200_000).collect()
-    languages = sorted({r[0] for r in rows})
+def common_mask(words: DataFrame) -> tuple[dict[str, int], list[str]]:
+    """(word -> bit mask of languages, the languages) of the common-word table (a fixed table of words a language, not corpus data) and CLOSED."""
+    rows = [(r[0], r[1]) for r in words.select("language", "word").na.drop().distinct().limit(200_000).collect()]
+    return word_masks(rows)
+
+
+def word_masks(rows: list[tuple[str, str]]) -> tuple[dict[str, int], list[str]]:
+    rows = [*rows, *((c, w) for c, t in CLOSED.items() for w in t.split())]
+    languages = sorted({c for c, _ in rows} | set(_GRAMMAR))
+    if len(languages) > 62:
+        raise ValueError("more than 62 languages")
     out: dict[str, int] = {}
-    for r in rows:
-        w = unicodedata.normalize("NFC", r[1]).lower()
-        out[w] = out.get(w, 0) | 1 << languages.index(r[0])
-    return out, max(1, len(languages))
+    for c, word in rows:
+        w = unicodedata.normalize("NFC", word).lower()
+        out[w] = out.get(w, 0) | 1 << languages.index(c)
+    return out, languages
 
 
 _measures: dict[int, Measure] = {}
 
 
-def _measure(common: dict[str, int], languages: int) -> Measure:
+def _measure(common: dict[str, int], languages: list[str]) -> Measure:
     """The worker's measure for these words, so that tokens met in one task are known in the next."""
-    key = hash((languages, frozenset(common.items())))
+    key = hash((*languages, frozenset(common.items())))
     if key not in _measures:
         _measures.clear()
         _measures[key] = Measure(common, languages)
     return _measures[key]
 
 
-def measured(docs: DataFrame, key: str, text: str, common: dict[str, int], languages: int) -> DataFrame:
+def measured(docs: DataFrame, key: str, text: str, common: dict[str, int], languages: list[str]) -> DataFrame:
     """(id, stats array<double>, words array<int>, x array<float>): a row per document with visible text; x holds the features of its passages, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,50 +429,128 @@ def _square(terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(m: DataFrame, common: dict[str, int], languages: int, rounds: int = 6, prior: float = 0.5, ridge: float = 0.02, tolerance: float = 1e-3) -> dict:
-    """Gaussian mixture over the standardised features of all passages of the corpus, by expectation-maximisation.
+def example_features(common: dict[str, int], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of each passage of the inspected examples, its features)."""
+    doc, _, x, _ = Measure(common, languages)([t for _, t in EXAMPLES])
+    return np.array([KINDS.index(EXAMPLES[i][0]) for i in doc]), x
+
+
+def first_means(z: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of z, each drawn with a chance in proportion to its distance from those drawn before; no example has a part in it."""
+    rows = [z[rng.integers(len(z))]]
+    far = np.sqrt(((z - rows[0]) ** 2).sum(1))
+    for _ in range(k - 1):
+        total = far.sum()
+        rows.append(z[rng.choice(len(z), p=far / total if total > 0 else None)])
+        far = np.minimum(far, np.sqrt(((z - rows[-1]) ** 2).sum(1)))
+    return np.stack(rows)
+
+
+def start_model(centre: np.ndarray, scale: np.ndarray, mean: np.ndarray) -> dict:
+    k, d = mean.shape
+    return {"centre": centre, "scale": scale, "weight": np.full(k, 1 / k), "mean": mean, "cov": np.stack([np.eye(d) * SPREAD] * k)}
+
+
+def maximised(model: dict, sums: dict[int, np.ndarray], n: float) -> tuple[dict, float]:
+    """The next model from the weighted sums of a round, and the objective of the model that made them: mean log likelihood with the log prior."""
+    k, d = model["mean"].shape
+    pull = SHRINK * n / k
+    prior = sum(np.linalg.slogdet(c)[1] + SPREAD * np.trace(np.linalg.inv(c)) for c in model["cov"])
+    objective = sums[-1][0] / n - 0.5 * pull / n * prior + 1e-4 / k * np.log(model["weight"]).sum()
+    weight, mean, cov = [], [], []
+    for j in range(k):
+        r = sums[j][0]
+        mu = sums[j][1 : 1 + d] / r if r > 1e-9 * n else model["mean"][j]
+        c = (_square(sums[j]) - r * np.outer(mu, mu) + pull * SPREAD * np.eye(d)) / (r + pull)
+        weight.append(r + 1e-4 * n / k)
+        mean.append(mu)
+        cov.append((c + c.T) / 2)
+    w = np.array(weight)
+    return model | {"weight": w / w.sum(), "mean": np.stack(mean), "cov": np.stack(cov)}, float(objective)
+
+
+def expectation_maximisation(model: dict, sums, n: float, tolerance: float, most: int) -> dict:
+    """Rounds until the objective rises by less than the tolerance; ``sums`` makes a round's sums for a model.
+
+    The result has the objective of every round as ``trace``.  Not settling within ``most`` rounds is an error.
+    """
+    trace: list[float] = []
+    for _ in range(most):
+        model, objective = maximised(model, sums(model), n)
+        trace.append(objective)
+        if len(trace) > 1 and trace[-1] - trace[-2] < tolerance:
+            return model | {"trace": trace}
+    raise RuntimeError(f"the mixture didn't settle in {most} rounds")
 
-    Every inspected example is the first mean of a component, so each kind has several; as a prior it counts as
-    ``prior`` times the passages of an average component, at any size of corpus, so components stay what they stand for.  Each round is one pass over the whole table; the
-    components are then mapped to kinds by the examples they explain (each example's passages give their responsibility to its kind).
+
+def sampled(m: DataFrame, n: float, rows: int) -> np.ndarray:
+    """Features of about so many passages (all, if there are no more), chosen by a hash of document and place."""
+    limit = np.uint64(min(rows / max(n, 1.0), 1.0) * (2.0**64 - 2**12))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            count = np.diff(b.column(1).offsets.to_numpy()) // len(FEATURES)
+            ids = np.repeat(np.asarray(b.column(0)), count)
+            place = np.arange(len(ids)) - np.repeat(starts(count)[:-1], count)
+            keep = mix((ids.view(np.uint64) * MIX2) ^ place.astype(np.uint64)) <= limit
+            x = _matrix(b.column(1))[keep].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(place[keep]), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["id", "place", "x"])
+
+    t = m.select("id", "x").mapInArrow(run, "id bigint, place bigint, x array<float>").toArrow().combine_chunks()
+    x = t.column(2).combine_chunks().flatten().to_numpy().astype(float).reshape(-1, len(FEATURES)) if t.num_rows else np.zeros((0, len(FEATURES)))
+    return x[np.lexsort((*x.T, t.column(1).to_numpy(), t.column(0).to_numpy()))]
+
+
+def named(model: dict, kinds: np.ndarray, x: np.ndarray) -> dict:
+    """The model with a kind for every component: that of the examples it explains, by their share; else that of the example nearest its mean."""
+    r, _ = responsibilities(x, model)
+    votes = np.stack([(r[kinds == j] / max(1, (kinds == j).sum())).sum(0) for j in range(len(KINDS))], 1)
+    z = (x - model["centre"]) / model["scale"]
+    near = kinds[((model["mean"][:, None, :] - z[None]) ** 2).sum(2).argmin(1)]
+    return model | {"kind": np.where(votes.max(1) > 1e-3, votes.argmax(1), near)}
+
+
+def fit(m: DataFrame, common: dict[str, int], languages: list[str], components: int = 40, sample: int = 20_000, restarts: int = 5, tolerance: float = 5e-4, most: int = 300) -> dict:
+    """Gaussian mixture over the standardised features of all passages of the corpus, by expectation-maximisation until it settles.
+
+    It starts from rows of a sample of ``sample`` passages, drawn at random: ``restarts`` fits to the sample run until they
+    settle, and the best one is where the rounds over all passages begin.  Each of those is one pass over the whole
+    table, and the fit ends only when the objective over all passages has settled.  A prior keeps each component's
+    covariance from collapsing onto repeated values: as many passages as SHRINK average components hold, spread by SPREAD.
+    Components are then named by the inspected examples, which have no part in the fit.
     """
     d = len(FEATURES)
     s = _sums(m, None)[0]
     n = max(s[0], 1.0)
     centre = s[1 : 1 + d] / n
     scale = np.sqrt(np.maximum(np.diag(_square(s)) / n - centre**2, 1e-4))
-    doc, _, x, _ = Measure(common, languages)([t for _, t in EXAMPLES])
-    z = (x - centre) / scale
-    mean = np.stack([z[doc == i].mean(0) for i in range(len(EXAMPLES))])
-    k = len(mean)
-    model = {"centre": centre, "scale": scale, "weight": np.full(k, 1 / k), "mean": mean, "cov": np.stack([np.eye(d) * 0.3] * k)}
-    first, own = model["mean"], np.eye(d) * 0.3
-    last = None
-    for _ in range(rounds):
-        got = _sums(m, model)
-        weight, mean, cov = [], [], []
-        pull = prior * n / k
-        for j in range(k):
-            r = got[j][0]
-            mu = (got[j][1 : 1 + d] + pull * first[j]) / (r + pull)
-            second = (_square(got[j]) + pull * (own + np.outer(first[j], first[j]))) / (r + pull)
-            c = second - np.outer(mu, mu)
-            weight.append(r + 1e-3 * n / k)
-            mean.append(mu)
-            cov.append((c + c.T) / 2 + np.eye(d) * ridge)
-        w = np.array(weight)
-        model |= {"weight": w / w.sum(), "mean": np.stack(mean), "cov": np.stack(cov)}
-        like = got[-1][0] / n
-        if last is not None and abs(like - last) < tolerance * abs(last):
-            break
-        last = like
-    r, _ = responsibilities(x, model)
-    votes = np.zeros((k, len(KINDS)))
-    for i, (kind, _) in enumerate(EXAMPLES):
-        votes[:, KINDS.index(kind)] += r[doc == i].mean(0)
-    origin = np.array([KINDS.index(kind) for kind, _ in EXAMPLES])
-    model["kind"] = np.where(votes.max(1) > 0.05, votes.argmax(1), origin)
-    return model
+    kinds, x = example_features(common, languages)
+    part = sampled(m, n, sample)
+    z = (part - centre) / scale if len(part) else np.zeros((1, d))
+    rng = np.random.default_rng(7)
+    tries = []
+    for _ in range(restarts):
+        own = start_model(centre, scale, first_means(z, components, rng))
+        tries.append(expectation_maximisation(own, lambda mo: _by_component(_partial(iter([part]), mo), components), max(1.0, float(len(part))), tolerance, most))
+    best = max(tries, key=lambda mo: mo["trace"][-1])
+    model = expectation_maximisation(best, lambda mo: _sums(m, mo), n, tolerance, most)
+    return named(model | {"start_trace": best["trace"]}, kinds, x)
+
+
+def mixture(spark: SparkSession, model: dict) -> DataFrame:
+    """(component, kind, weight, rounds, start_objective, objective): the components, the rounds over all passages, and the objective at their begin and end."""
+    rows = [(j, KINDS[int(c)], float(w), len(model["trace"]), model["trace"][0], model["trace"][-1]) for j, (c, w) in enumerate(zip(model["kind"], model["weight"]))]
+    return spark.createDataFrame(rows, "component int, kind string, weight double, rounds int, start_objective double, objective double")
+
+
+def fitted(docs: DataFrame, words: DataFrame, key: str = "source_ord", text: str = "text") -> tuple[DataFrame, dict]:
+    """(measured documents, the mixture fitted to them)."""
+    ship(docs.sparkSession)
+    common, languages = common_mask(words)
+    m = written(measured(docs, key, text, common, languages), "passages")
+    return m, fit(m, common, languages)
 
 
 def judged(docs: DataFrame, words: DataFrame, key: str = "source_ord", text: str = "text") -> DataFrame:
@@ -405,10 +560,7 @@ def judged(docs: DataFrame, words: DataFrame, key: str = "source_ord", text: str
     prose_share, kind): prose_share is the share of words in passages that the mixture holds for prose; kind is the kind of most
     words.  Null and blank texts give no row; a text with signs but no words has prose_share 0.
     """
-    ship(docs.sparkSession)
-    common, languages = common_mask(words)
-    m = written(measured(docs, key, text, common, languages), "passages")
-    model = fit(m, common, languages)
+    m, model = fitted(docs, words, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "illegible_share", "lines"]

@@ -46,6 +46,11 @@ def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(spread(read(spark, d, "source_records").select("source_ord", "text")), read(spark, d, "common_words"))
 
 
+def p2_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted components with their kinds, and how the fit went."""
+    return quality.mixture(spark, quality.fitted(spread(read(spark, d, "source_records").select("source_ord", "text")), read(spark, d, "common_words"))[1])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_stats(spark, d).where("prose_share < 0.5").select("source_ord")
 
@@ -104,6 +109,6 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.forms(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}

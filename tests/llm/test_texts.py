@@ -2,9 +2,12 @@
 
 import base64
 import datetime
+import os
 import random
+import unicodedata
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from siltstone.llm import lines, packing, quality, tokenize, visual
@@ -31,6 +34,78 @@ def test_quality_tells_prose_from_the_rest(spark):
     assert quality.judged(df.limit(0), words).count() == 0
 
 
+def mixed_corpus():
+    rng = random.Random(5)
+    word = lambda: rng.choice(["lamp", "bowl", "road", "tower", "garden", "river", "market", "stone"])
+    prose = [" ".join(f"When the {word()} is near the {word()}, many of the people can not see the {word()} until it is there." for _ in range(3)) for _ in range(80)]
+    lists = ["\n".join(f"- {rng.choice(['Red', 'Old', 'Tall'])} {word()} of Holt ({rng.randrange(1600, 1900)})" for _ in range(12)) for _ in range(80)]
+    tables = ["\n".join("|".join(str(rng.randrange(9999)) for _ in range(5)) for _ in range(8)) for _ in range(80)]
+    junk = [" ".join("".join(rng.choice("bcdfgklmnpqrstvwxz") for _ in range(6)) for _ in range(40)) for _ in range(80)]
+    return prose + lists + tables + junk
+
+
+def test_expectation_maximisation_mends_a_poor_start():
+    """Components that begin at 40 rows drawn at random judge dozens of records otherwise than the best of five fits; settled ones judge none otherwise."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    common, languages = quality.word_masks([(r["language"], r["word"]) for r in pq.read_table(f"{path}/common_words.parquet").to_pylist()])
+    texts = [unicodedata.normalize("NFC", t) for t in pq.read_table(f"{path}/source_records.parquet").column("text").to_pylist() if t and t.strip()]
+    doc, words, x, _ = quality.Measure(common, languages)(texts)
+    kinds, ex = quality.example_features(common, languages)
+    centre, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-4))
+    z, w = (x - centre) / scale, np.maximum(words, 1e-6)
+
+    def junk(model):
+        p = quality.responsibilities(x, quality.named(model, kinds, ex))
+        prose = p[0][:, quality.named(model, kinds, ex)["kind"] == 0].sum(1)
+        return np.bincount(doc, prose * w, len(texts)) / np.maximum(np.bincount(doc, w, len(texts)), 1e-9) < 0.5
+
+    sums = lambda m: quality._by_component(quality._partial(iter([x]), m), 40)
+    settled = lambda start: quality.expectation_maximisation(start, sums, len(x), 5e-4, 300)
+    rng = np.random.default_rng(7)
+    best = max((settled(quality.start_model(centre, scale, quality.first_means(z, 40, rng))) for _ in range(5)), key=lambda m: m["trace"][-1])
+    good = junk(best)
+    for seed in (0, 3):
+        poor = quality.start_model(centre, scale, z[np.random.default_rng(seed).choice(len(z), 40)])
+        model = settled(poor)
+        assert (junk(poor) != good).sum() >= 20 and (junk(model) != good).sum() <= 2
+        assert all(b >= a - 1e-9 for a, b in zip(model["trace"], model["trace"][1:]))  # the objective never falls
+    with pytest.raises(RuntimeError):
+        quality.expectation_maximisation(poor, sums, len(x), 5e-4, 2)
+
+
+LANGUAGES = {
+    "Greek": ("Η θάλασσα ήταν ήρεμη το πρωί, αλλά οι ψαράδες δεν βγήκαν γιατί περίμεναν τον άνεμο. Κανείς δεν τον πίστεψε στην αρχή, όμως το βράδυ όλοι κατάλαβαν ότι είχε δίκιο.", "Ψωμί\nΓάλα\nΤυρί\nΕλιές\nΝτομάτες\nΑγγούρια\nΚρεμμύδια\nΠιπεριές"),
+    "Japanese": ("港に着いた船は、嵐が過ぎるまでそこで待つことにした。船長は空を見上げて、明日には風が弱くなるだろうと言った。だれも反対しなかった。", "銅鍋\n鉄瓶\n木箱\n竹籠\n石臼\n紙袋\n布団\n硝子瓶"),
+    "Korean": ("항구에 도착한 배는 폭풍이 지나갈 때까지 그곳에서 기다리기로 했다. 선장은 하늘을 올려다보며 내일은 바람이 약해질 것이라고 말했다.", "사과\n배\n포도\n딸기\n수박\n참외\n복숭아\n자두"),
+    "Arabic": ("وصلت السفينة إلى الميناء في المساء ولم يكن أحد في انتظارها. قال القبطان إن الريح ستكون أضعف في الغد، ولذلك عاد كل البحارة إلى المدينة من أجل النوم.", "خبز\nحليب\nجبن\nزيتون\nطماطم\nخيار\nبصل\nفلفل"),
+    "Hungarian": ("A hajó este érkezett meg a kikötőbe, de senki sem várta ott. A kapitány azt mondta, hogy másnap már gyengébb lesz a szél, ezért az emberek visszamentek a városba.", "Alma\nKörte\nSzilva\nBarack\nCseresznye\nMeggy\nDió\nMogyoró"),
+    "Dutch": ("De boot kwam in de avond aan, maar er stond niemand te wachten. De kapitein zei dat de wind morgen zou gaan liggen, en daarom gingen de mannen terug naar de stad.", "Brood\nMelk\nKaas\nBoter\nAppel\nPeer\nPruim\nKers"),
+    "Chinese": ("船在晚上到了港口，但是没有人在那里等他们。船长说明天的风会小一些，所以大家都回到城里去休息了。", "铜锅\n铁瓶\n木箱\n竹篮\n石磨\n纸袋\n布鞋\n瓷碗"),
+}
+
+
+def test_prose_of_other_languages(spark, sf):
+    """Beside the records of the test table, where none of these languages occurs."""
+    rec = spark.read.parquet(f"{sf}/source_records.parquet").select("source_ord", "text")
+    mine = spark.createDataFrame([(10**9 + 2 * i + j, t) for i, pair in enumerate(LANGUAGES.values()) for j, t in enumerate(pair)], "source_ord bigint, text string")
+    got = {r["source_ord"] - 10**9: r["prose_share"] for r in quality.judged(rec.union(mine), spark.read.parquet(f"{sf}/common_words.parquet")).where("source_ord >= 1000000000").collect()}
+    assert {n: (got[2 * i] > 0.5, got[2 * i + 1] > 0.5) for i, n in enumerate(LANGUAGES)} == {n: (True, False) for n in LANGUAGES}
+
+
+def test_mixture_settles_and_says_so(spark, sf):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(mixed_corpus())], "source_ord bigint, text string")
+    words = spark.read.parquet(f"{sf}/common_words.parquet")
+    m, model = quality.fitted(df, words)
+    rows = quality.mixture(spark, model).collect()
+    assert len(rows) == 40 and abs(sum(r["weight"] for r in rows) - 1) < 1e-9 and rows[0]["objective"] >= rows[0]["start_objective"]
+    assert {r["kind"] for r in rows} >= {"prose", "list", "junk"}
+    n = float(quality._sums(m, None)[0][0])
+    few = quality.sampled(m, n, 100)
+    assert 40 < len(few) < 200 and len(quality.sampled(m, n, 10**6)) == n
+
+
 def rows_of_lines():
     day = datetime.datetime(2024, 1, 1)
     rows = []
