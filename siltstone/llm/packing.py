@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -12,92 +17,210 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Documents of one task's packing; a block leaves at most one poorly filled container.
-BLOCK = 4096
-#: Nodes of the search for one container, after which its best filling so far stands.
-NODES = 400
-#: Most documents beside the largest one in a filling that the search looks at.
-DEPTH = 6
+BLOCK = 8192
+#: Work of one block's search, in steps of the enumeration, after which the best packing so far stands without a proof.
+NODES = 200_000
 
 
-class _Bag:
-    """Sizes that are left, with their items."""
+@dataclass
+class Packing:
+    """Container of each size; containers used, those of best fit alone, the lower bound, the steps of the search, and whether no better packing exists."""
 
-    def __init__(self, sizes: list[int]):
-        self.items: dict[int, list[int]] = {}
-        for i, s in enumerate(sizes):
-            self.items.setdefault(s, []).append(i)
-        self.sizes = sorted(self.items)
+    place: list[int]
+    containers: int
+    best_fit: int
+    bound: int
+    steps: int
+    proven: bool
 
-    def take(self, size: int) -> int:
-        at = self.items[size]
-        i = at.pop()
-        if not at:
-            del self.items[size]
-            self.sizes.pop(bisect.bisect_left(self.sizes, size))
-        return i
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Containers that any packing needs: for each k, items over capacity - k stand alone, those over half the capacity
+    take one each, and what of the items of at least k doesn't fit beside the latter needs containers of its own."""
+    if not len(sizes):
+        return 0
+    v = np.sort(sizes)
+    total = np.concatenate([[0], np.cumsum(v)])
+    half = int(np.searchsorted(v, capacity // 2, side="right"))  # first item over half the capacity
+    k = np.concatenate([[0], np.unique(v[:half])])
+    alone = np.searchsorted(v, capacity - k, side="right")
+    least = np.searchsorted(v, k, side="left")
+    beside = (alone - half) * capacity - (total[alone] - total[half])
+    need = np.maximum(0, -((beside - (total[half] - total[least])) // capacity))
+    return int((len(v) - half + need).max())
 
-def _fill(bag: _Bag, room: int, nodes: int) -> list[int]:
-    """Sizes from the bag that fill the room best.
 
-    Branch and bound over undominated fillings: each step takes a size that fits, largest first, never larger than the
-    one before, and a branch ends when even filling its rest would not beat the incumbent.  The incumbent starts as the
-    best-fit filling.  A filling is dominated, and left out, if a larger size left in the bag could replace one of its own.
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Containers of best fit with falling sizes: each goes where the least room stays."""
+    room: list[tuple[int, int]] = []  # (room, container), sorted
+    out: list[list[int]] = []
+    for s in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(room, (s, -1))
+        if i < len(room):
+            free, c = room.pop(i)
+            out[c].append(s)
+        else:
+            free, c = capacity, len(out)
+            out.append([s])
+        if free > s:
+            bisect.insort(room, (free - s, c))
+    return out
+
+
+def _smeared(bits: int, width: int) -> int:
+    """bits | bits << 1 | ... | bits << width."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(chosen: list[int], left: int, others: int) -> bool:
+    """Whether a filling with ``left`` unused can be bettered by an item that it leaves out (a bit set of sizes).
+
+    It can if such an item fits beside it, or can take the place of some of its items that are not larger together, within
+    the capacity: the items it frees pack wherever the item would have gone.  An item in place of a single one of its own size changes
+    nothing and doesn't count.
     """
-    best: list[int] = []
-    free = room
-    used: dict[int, int] = {}
-    while free > 0:  # best fit: the largest that still fits
-        i = bisect.bisect_right(bag.sizes, free) - 1
-        while i >= 0 and len(bag.items[bag.sizes[i]]) <= used.get(bag.sizes[i], 0):
-            i -= 1
-        if i < 0:
-            break
-        s = bag.sizes[i]
-        used[s] = used.get(s, 0) + 1
-        best.append(s)
-        free -= s
-    least = free
-    if least == 0 or not bag.sizes:
-        return best
-    left = nodes
-    stack: list[tuple[int, list[int], int]] = [(room, [], len(bag.sizes))]
-    while stack and least and left:
-        free, chosen, top = stack.pop()
-        hi = min(top, bisect.bisect_right(bag.sizes, free))
-        branches = []
-        for i in range(hi - 1, max(-1, hi - 1 - 12), -1):
-            s = bag.sizes[i]
-            if len(bag.items[s]) <= chosen.count(s):
+    if others & ((2 << left) - 2):
+        return True
+    one = many = 0  # sums of one item, and of two or more
+    for s in chosen:
+        many |= many << s | one << s
+        one |= 1 << s
+    larger = _smeared(one << 1, left - 1) if left else 0
+    return bool(others & (_smeared(many, left) | larger))
+
+
+class _Search:
+    """Sizes of a block in falling order with how many are left, and the search for a packing into fewer containers."""
+
+    def __init__(self, sizes: list[int], capacity: int, steps: int):
+        n = Counter(sizes)
+        self.sizes = sorted(n, reverse=True)
+        self.count = [n[s] for s in self.sizes]
+        self.negative = [-s for s in self.sizes]
+        self.capacity, self.steps, self.total = capacity, steps, sum(sizes)
+
+    def _left(self) -> int:
+        return sum(1 << s for s, n in zip(self.sizes, self.count) if n)
+
+    def _between(self, room: int, low: int, high: int) -> Iterator[list[int]]:
+        """Undominated fillings of the room (as places in the list of sizes) that leave low to high of it unused.
+
+        Sizes never grow along a filling, larger ones come first; a branch ends where all smaller items together would still leave more than
+        ``high`` unused.
+        """
+        sizes, count, n = self.sizes, self.count, len(self.sizes)
+        tail = [*reversed(list(accumulate(map(mul, reversed(sizes), reversed(count))))), 0]
+        every = self._left()
+        used = [0] * n
+        chosen: list[int] = []
+        left = room
+        j = bisect.bisect_left(self.negative, -left)
+        self.steps -= 1 + n // 16
+        while True:
+            while j < n and used[j] >= count[j]:
+                j += 1
+            self.steps -= 1
+            if self.steps <= 0:
+                return
+            if j < n and tail[j] - used[j] * sizes[j] >= left - high:
+                used[j] += 1
+                chosen.append(j)
+                left -= sizes[j]
+                j = max(j, bisect.bisect_left(self.negative, -left))
+                continue
+            if j >= n and low <= left <= high:
+                others = every
+                for i in set(chosen):
+                    if used[i] == count[i]:
+                        others ^= 1 << sizes[i]
+                if not dominated([sizes[i] for i in chosen], left, others):
+                    yield list(chosen)
+            if not chosen:
+                return
+            j = chosen.pop()
+            used[j] -= 1
+            left += sizes[j]
+            j += 1
+
+    def _fillings(self, room: int, waste: int) -> Iterator[list[int]]:
+        """All undominated fillings that leave at most ``waste`` of the room unused, the fuller ones before."""
+        low = width = 0
+        while low <= min(waste, room):
+            yield from self._between(room, low, min(low + width, waste, room))
+            low, width = low + width + 1, width * 2 + 1
+
+    def into(self, containers: int) -> list[list[int]] | None:
+        """A packing into so many containers, or None if the search finds none.
+
+        Each level takes the largest item left and tries its fillings; a branch ends where the unused space so far is more
+        than the packing can afford, or where the items left need more containers than are left.
+        """
+        spare = containers * self.capacity - self.total
+        levels: list[tuple[int, Iterator[list[int]], list[int] | None]] = []
+        wasted = 0
+        open_one = True
+        while True:
+            if open_one:
+                top = next((i for i, n in enumerate(self.count) if n), None)
+                if top is None:
+                    return [[self.sizes[i], *(self.sizes[j] for j in f)] for i, _, f in levels]
+                rest = np.repeat(self.sizes, self.count)
+                fits = len(levels) + lower_bound(rest, self.capacity) <= containers
+                self.count[top] -= 1
+                levels.append((top, self._fillings(self.capacity - self.sizes[top], spare - wasted) if fits else iter(()), None))
+            top, fillings, filling = levels[-1]
+            if filling is not None:
+                wasted -= self._change(top, filling, 1)
+            filling = next(fillings, None) if self.steps > 0 else None
+            levels[-1] = top, fillings, filling
+            if filling is not None:
+                wasted += self._change(top, filling, -1)
+                open_one = True
                 continue
-            left -= 1
-            rest = free - s
-            if rest < least:
-                best, least = [*chosen, s], rest
-            j = bisect.bisect_left(bag.sizes, rest)
-            if rest and j < len(bag.sizes) and bag.sizes[j] == rest and j <= i and len(bag.items[rest]) > chosen.count(rest) + (rest == s):
-                return [*chosen, s, rest]
-            if len(chosen) + 1 < DEPTH and rest >= bag.sizes[0]:
-                branches.append((rest, [*chosen, s], i + 1))
-            if least == 0 or left <= 0:
-                break
-        stack += reversed(branches)
-        left = max(left, 0)
-    return best
-
-
-def pack_block(sizes: list[int], capacity: int, nodes: int = NODES) -> list[int]:
-    """Container number of each size (all at most capacity), around the largest item left each time."""
-    bag = _Bag(sizes)
-    place = [0] * len(sizes)
-    n = 0
-    while bag.sizes:
-        first = bag.sizes[-1]
-        place[bag.take(first)] = n
-        for s in _fill(bag, capacity - first, nodes):
-            place[bag.take(s)] = n
-        n += 1
-    return place
+            self.count[top] += 1
+            levels.pop()
+            open_one = False
+            if not levels:
+                return None
+
+    def _change(self, top: int, filling: list[int], by: int) -> int:
+        for i in filling:
+            self.count[i] += by
+        return self.capacity - self.sizes[top] - sum(self.sizes[i] for i in filling)
+
+
+def pack_block(sizes: list[int], capacity: int, nodes: int = NODES) -> Packing:
+    """Packs sizes from 1 to the capacity by bin completion.
+
+    Best fit with falling sizes is the first incumbent.  While it has more containers than the lower bound, the search looks for a packing
+    into one container less: around the largest item left each time, over undominated fillings, with bounds on the unused
+    space.  It ends with a proof (the bound is met, or no better packing exists), or after ``nodes`` steps with the incumbent.
+    """
+    best = best_fit(sizes, capacity)
+    first, bound = len(best), lower_bound(np.array(sizes, np.int64), capacity)
+    steps = nodes
+    while len(best) > bound and steps > 0:
+        search = _Search(sizes, capacity, steps)
+        found = search.into(len(best) - 1)
+        steps = max(0, search.steps)
+        if found is None:
+            break
+        best = found
+    at: dict[int, list[int]] = {}
+    for c, items in enumerate(best):
+        for s in items:
+            at.setdefault(s, []).append(c)
+    used = dict.fromkeys(at, 0)
+    place = []
+    for s in sizes:
+        place.append(at[s][used[s]])
+        used[s] += 1
+    return Packing(place, len(best), first, bound, nodes - steps, len(best) == bound or steps > 0)
 
 
 def packed(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str = "tokens", block: int = BLOCK) -> DataFrame:
@@ -108,12 +231,6 @@ def packed(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str
     are dealt to blocks of about ``block`` by a hash of their key, so packing runs in as many tasks as data asks for and
     no group grows with the data.  Profiles are a short table of settings (at most 1000).  Null sizes count as 0; null keys and profiles without a positive capacity are ignored.
     """
-    ship(sizes.sparkSession)
-    clean = sizes.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(size).cast("int"), F.lit(0)).alias("n")).where("k is not null")
-    blocks = max(1, -(-clean.count() // block))
-    caps = profiles.select("profile", F.col("capacity_tokens").cast("int").alias("cap")).where("profile is not null and cap > 0").dropDuplicates(["profile"]).orderBy("profile").limit(1000).collect()
-    each = F.array(*[F.struct(F.lit(r["profile"]).alias("profile"), F.lit(r["cap"]).alias("cap")) for r in caps]) if caps else F.expr("cast(array() as array<struct<profile:string,cap:int>>)")
-    tasks = clean.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).select("*", F.explode(each).alias("_p")).select("k", "n", "block", "_p.*")
 
     def run(gkey: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         profile, b, cap = (g.as_py() for g in gkey)
@@ -124,7 +241,7 @@ def packed(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str
         full_doc = np.repeat(np.arange(len(n)), whole)
         full_piece = np.arange(len(full_doc)) - np.repeat(np.cumsum(whole) - whole, whole)
         part, empty = np.flatnonzero(rest > 0), np.flatnonzero(n <= 0)
-        place = np.array(pack_block(rest[part].tolist(), cap), np.int64)
+        place = np.array(pack_block(rest[part].tolist(), cap).place, np.int64)
         part, place = np.concatenate([part, empty]), np.concatenate([place, np.zeros(len(empty), np.int64)])
         made = int(place.max()) + 1 if len(place) else 0
         doc = np.concatenate([full_doc, part])
@@ -138,7 +255,34 @@ def packed(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str
             }
         )
 
-    return tasks.groupBy("profile", "block", "cap").applyInArrow(run, f"profile string, container string, `{key}` bigint, piece int, start_token int, tokens int")
+    return _blocks(sizes, profiles, key, size, block).applyInArrow(run, f"profile string, container string, `{key}` bigint, piece int, start_token int, tokens int")
+
+
+def _blocks(sizes: DataFrame, profiles: DataFrame, key: str, size: str, block: int):
+    """Documents grouped by profile and block, with the capacity."""
+    ship(sizes.sparkSession)
+    clean = sizes.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(size).cast("int"), F.lit(0)).alias("n")).where("k is not null")
+    blocks = max(1, -(-clean.count() // block))
+    caps = profiles.select("profile", F.col("capacity_tokens").cast("int").alias("cap")).where("profile is not null and cap > 0").dropDuplicates(["profile"]).orderBy("profile").limit(1000).collect()
+    each = F.array(*[F.struct(F.lit(r["profile"]).alias("profile"), F.lit(r["cap"]).alias("cap")) for r in caps]) if caps else F.expr("cast(array() as array<struct<profile:string,cap:int>>)")
+    tasks = clean.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).select("*", F.explode(each).alias("_p")).select("k", "n", "block", "_p.*")
+    return tasks.groupBy("profile", "block", "cap")
+
+
+def search_report(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str = "tokens", block: int = BLOCK) -> DataFrame:
+    """How the packing went, a row a profile: blocks, those proven to have no better packing, items packed (pieces that fill a container aside),
+    containers, those of best fit alone, the sum of the blocks' lower bounds, and steps of the search."""
+
+    def run(gkey: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        profile, _, cap = (g.as_py() for g in gkey)
+        n = np.sort(table.column("n").to_numpy().astype(np.int64))
+        rest = n[n > 0] % cap
+        p = pack_block(rest[rest > 0].tolist(), cap)
+        return pa.table({"profile": [profile], "proven": [int(p.proven)], "items": [len(p.place)], "containers": [p.containers], "best_fit": [p.best_fit], "least": [p.bound], "steps": [p.steps]})
+
+    names = ["proven", "items", "containers", "best_fit", "least", "steps"]
+    each = _blocks(sizes, profiles, key, size, block).applyInArrow(run, "profile string, " + ", ".join(f"{c} bigint" for c in names))
+    return each.groupBy("profile").agg(F.count(F.lit(1)).alias("blocks"), *[F.sum(c).alias(c) for c in names])
 
 
 def fill_report(packing: DataFrame, profiles: DataFrame) -> DataFrame:

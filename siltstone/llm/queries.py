@@ -101,6 +101,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, d), read(spark, d, "pack_profiles"))
 
 
+def p7_search(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks, proofs, containers against best fit and bound, and steps of the search, by profile."""
+    return packing.search_report(tokenize.token_counts(_documents(spark, d)), read(spark, d, "pack_profiles"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.same_looking_pairs(_documents(spark, d))
 
@@ -109,6 +114,6 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.forms(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p7_search, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}

@@ -199,23 +199,68 @@ def test_packing_never_splits_what_fits(spark):
             assert [r["start_token"] for r in p] == [j * cap for j in range(len(p))]
         assert len(fill) <= -(-sum(sizes) // cap) * 1.06 + 3
     assert packing.packed(df.limit(0), prof).count() == 0
+    how = {r["profile"]: r for r in packing.search_report(df, prof, block=300).collect()}
+    assert how["p"]["least"] <= how["p"]["containers"] <= how["p"]["best_fit"] and how["p"]["blocks"] >= 2 and how["p"]["proven"] <= how["p"]["blocks"]
     rep = {r["profile"]: r for r in packing.fill_report(packing.packed(df, prof), prof.dropDuplicates().na.drop()).collect()}
     assert rep["p"]["tokens"] == sum(sizes)
 
 
-def test_bin_completion_beats_or_equals_first_fit_decreasing():
+def least_containers(sizes, capacity):
+    sizes = sorted(sizes, reverse=True)
+    best = len(sizes)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(sizes):
+            best = len(room)
+            return
+        for r in {r: b for b, r in enumerate(room) if r >= sizes[i]}.values():
+            room[r] -= sizes[i]
+            go(i + 1, room)
+            room[r] += sizes[i]
+        go(i + 1, [*room, capacity - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_blocks():
     rng = random.Random(3)
-    for _ in range(30):
-        sizes = [rng.randrange(1, 100) for _ in range(120)]
-        bins: list[int] = []
-        for s in sorted(sizes, reverse=True):
-            for i, b in enumerate(bins):
-                if b + s <= 100:
-                    bins[i] += s
-                    break
-            else:
-                bins.append(s)
-        assert max(packing.pack_block(sizes, 100)) + 1 <= len(bins)
+    better = 0
+    for _ in range(1500):
+        cap = rng.choice([10, 20, 30, 60, 100])
+        lo, hi = rng.choice([(1, cap), (cap // 5, cap // 2), (1, cap // 3), (cap // 4, cap * 2 // 3)])
+        sizes = [rng.randrange(max(1, lo), hi + 1) for _ in range(rng.randrange(0, 13))]
+        p = packing.pack_block(sizes, cap)
+        fill: dict = {}
+        for s, c in zip(sizes, p.place):
+            fill[c] = fill.get(c, 0) + s
+        assert p.containers == least_containers(sizes, cap) == len(fill) and p.proven and p.bound <= p.containers <= p.best_fit
+        assert not fill or max(fill.values()) <= cap
+        better += p.best_fit > p.containers
+    assert better > 10
+
+
+def test_bin_completion_on_a_hard_case():
+    """500 items of 20 to 100 at capacity 150 (uniform, seed 1): best fit takes 203 containers, the search 200, which is the bound."""
+    rng = random.Random(1)
+    sizes = [rng.randrange(20, 101) for _ in range(500)]
+    p = packing.pack_block(sizes, 150)
+    assert (p.best_fit, p.containers, p.bound, p.proven) == (203, 200, 200, True)
+    out = packing.pack_block(sizes, 150, nodes=500)  # the documented exit keeps the incumbent
+    assert out.containers <= out.best_fit and len(set(out.place)) == out.containers
+
+
+def test_dominated_fillings():
+    bits = lambda *s: sum(1 << x for x in s)
+    assert packing.dominated([5, 3], 2, bits(2))  # 2 fits beside them
+    assert packing.dominated([5, 3], 2, bits(4))  # 4 in place of 3
+    assert packing.dominated([5, 3], 0, bits(8))  # 8 in place of both
+    assert not packing.dominated([5, 3], 0, bits(5, 3))  # the same sizes again
+    assert not packing.dominated([5, 3], 1, bits(7, 10))  # 7 would take too little or too much
+    assert packing.dominated([5, 3], 1, bits(9)) and not packing.dominated([], 4, bits(5))
 
 
 SAME = [
