@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -115,47 +116,62 @@ def fingerprints(docs: DataFrame, key: str, text: str, side, k: int, threshold:
     )
 
 
-def chain(pa_: np.ndarray, pb_: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Collinear chains of seed places: (first a, last a, first b, last b), greedy along a with bounded gap and drift."""
-    order = np.lexsort((pb_, pa_))
-    out: list[list[int]] = []
-    for x, y in zip(pa_[order].tolist(), pb_[order].tolist()):
-        for c in reversed(out[-8:]):
-            dx, dy = x - c[1], y - c[3]
-            if 0 < dx <= GAP and 0 < dy <= GAP and abs(dx - dy) <= DRIFT:
-                c[1], c[3] = x, y
+def chain(seeds: list[tuple[int, int]], places: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
+    """Collinear chains of common seeds: (first a, last a, first b, last b).
+
+    seeds are the (place in a, value) of the common seeds in order, places the sorted places of each value in b.  A chain
+    goes on with a seed at most GAP words on in both texts and at most DRIFT words off its diagonal.  As long as a value stands at several
+    places of b, a chain keeps all of them that fit, so a repeated line doesn't lead it astray; the least drift decides at its end.
+    """
+    out: list[tuple[int, int, dict[int, int]]] = []
+    live: list[list] = []  # first a, last a, {last b: first b}
+    for x, v in seeds:
+        there = places[v]
+        for c in [c for c in live if x - c[1] > GAP]:
+            out.append(tuple(c))
+        live = [c for c in live if x - c[1] <= GAP]
+        for c in reversed(live):
+            dx = x - c[1]
+            on: dict[int, int] = {}
+            ends = list(c[2])  # rises with every step
+            for y in there[bisect.bisect_right(there, ends[0]) : bisect.bisect_right(there, ends[-1] + GAP)]:
+                i = bisect.bisect_left(ends, y - dx)  # the nearest ends to both sides of y's diagonal
+                near = [e for e in ends[max(i - 1, 0) : i + 1] if 0 < y - e <= GAP and abs(y - e - dx) <= DRIFT]
+                if near:
+                    on[y] = c[2][min(near, key=lambda e: abs(y - e - dx))]
+            if dx > 0 and on:
+                c[1], c[2] = x, on
                 break
         else:
-            out.append([x, x, y, y])
-    return [tuple(c) for c in out]
+            live.append([x, x, {y: y for y in there}])
+    done = []
+    for a0, a1, ends in [*out, *map(tuple, live)]:
+        b1 = min(ends, key=lambda y: (abs(y - ends[y] - a1 + a0), y))
+        done.append((a0, a1, ends[b1], b1))
+    return done
 
 
 def covered(a: np.ndarray, b: np.ndarray, k: int, window: int, short: int) -> float:
     """Share of the words of a that chains of common seeds, extended by alignment, cover."""
-    fa, oa = shingle_hashes(a, np.array([0, len(a)]), k)
-    fb, ob = shingle_hashes(b, np.array([0, len(b)]), k)
-    va, xa, _ = winnow(fa, oa, window, short)
-    vb, xb, _ = winnow(fb, ob, window, short)
-    common = np.intersect1d(va, vb)
-    if not len(common) or not len(a):
-        return 0.0
-    first_b = {}
+    va, xa, _ = winnow(*shingle_hashes(a, np.array([0, len(a)]), k), window, short)
+    vb, xb, _ = winnow(*shingle_hashes(b, np.array([0, len(b)]), k), window, short)
+    places: dict[int, list[int]] = {}
     for v, p in zip(vb.tolist(), xb.tolist()):
-        first_b.setdefault(v, []).append(p)
-    ka, kb = [], []
-    for v, p in zip(va.tolist(), xa.tolist()):
-        for q in first_b.get(v, ())[:4]:
-            ka.append(p)
-            kb.append(q)
+        places.setdefault(v, []).append(p)
+    seeds, last = [], None
+    for p, v in sorted(zip(xa.tolist(), va.tolist())):
+        if v in places and last != (p - 1, v):  # inside a run of one value, alignment goes on by itself
+            seeds.append((p, v))
+        last = p, v
     mark = np.zeros(len(a), dtype=bool)
-    for a0, a1, b0, b1 in chain(np.array(ka), np.array(kb)):
+    for a0, a1, b0, b1 in chain(seeds, places):
         while a0 > 0 and b0 > 0 and a[a0 - 1] == b[b0 - 1]:
             a0, b0 = a0 - 1, b0 - 1
         e, f = a1 + k, b1 + k
         while e < len(a) and f < len(b) and a[e] == b[f]:
             e, f = e + 1, f + 1
         mark[a0:e] |= np.isin(a[a0:e], b[b0:f])
-    return float(mark.mean())
+    return float(mark.mean()) if len(a) else 0.0
 
 
 def aligned(pairs: DataFrame, words: DataFrame, k: int, threshold: float, window: int = WINDOW, short: int = SHORT) -> DataFrame:

@@ -170,10 +170,32 @@ def test_frequent_elements_lose_no_pair(spark):
 
 
 def test_chain_is_collinear():
+    out = crosssplit.chain([(0, 10), (5, 11), (9, 12), (300, 13)], {10: [2], 11: [7], 12: [11], 13: [1]})
+    assert sorted(out) == [(0, 9, 2, 11), (300, 300, 1, 1)]
+    many = [(10 * i + j, j) for i in range(12) for j in range(3)]  # a line that stands twelve times in both texts
+    assert crosssplit.chain(many, {j: [10 * i + j + 4 for i in range(12)] for j in range(3)}) == [(0, 112, 4, 116)]
+    lone = [(0, 1), (20, 1), (40, 1), (60, 2)]  # its last copy is the one that goes on
+    assert (0, 60, 100, 160) in crosssplit.chain(lone, {1: [0, 100, 120, 140], 2: [160]})
+
+
+def test_coverage_of_repeated_lines():
     import numpy as np
 
-    out = crosssplit.chain(np.array([0, 5, 9, 300]), np.array([2, 7, 11, 1]))
-    assert (0, 9, 2, 11) in out and (300, 300, 1, 1) in out
+    rng = random.Random(31)
+    hashed = lambda t: shingles.word_hashes([t])[0]
+    line = "share this page with a friend today"
+    body = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) for _ in range(14)]
+    text = " ".join(f"{line} {x}" for x in body)
+    a = hashed(text)
+    assert crosssplit.covered(a, a, 3, crosssplit.WINDOW, crosssplit.SHORT) == 1.0
+    later = hashed(" ".join(f"{line} {x}" for x in body[7:]))  # the second half alone: its lines are copies eight and on of a's
+    assert crosssplit.covered(later, a, 3, crosssplit.WINDOW, crosssplit.SHORT) == 1.0
+    gone = hashed(" ".join(f"{line} {x if i % 2 else ' '.join(f'z{rng.randrange(10**6)}' for _ in range(9))}" for i, x in enumerate(body)))
+    got = crosssplit.covered(gone, a, 3, 1, 0)
+    assert abs(got - np.isin(gone, a).mean()) < 0.02
+    assert crosssplit.covered(a[:0], a, 3, 12, 24) == 0.0 and crosssplit.covered(hashed("x y z q"), a, 3, 12, 24) == 0.0
+    same = hashed("word " * 3000)
+    assert crosssplit.covered(same, same, 3, 12, 24) == 1.0
 
 
 @pytest.mark.parametrize("w", [1, 3, 8])
