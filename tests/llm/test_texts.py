@@ -273,7 +273,7 @@ OTHER = [("resume", "resumé"), ("a", "A"), ("x2", "x²"), ("H2O", "H₂O"), ("1
 @pytest.mark.parametrize("a, b", SAME)
 def test_shown_the_same(a, b):
     assert visual.shown_form(a) == visual.shown_form(b)
-    assert visual.loose_form(visual.shown_form(a)) == visual.loose_form(visual.shown_form(b))
+    assert visual.comparison_form(visual.shown_form(a)) == visual.comparison_form(visual.shown_form(b))
     assert visual.shown_form(visual.shown_form(a)) == visual.shown_form(a)
 
 
@@ -282,6 +282,27 @@ def test_shown_differently(a, b):
     assert visual.shown_form(a) != visual.shown_form(b)
 
 
+def test_look_alikes_of_the_unicode_data(spark):
+    alike = visual.confusables(spark)
+    letters = visual.Forms(alike)
+    assert len(alike) > 120 and all(c in alike for c in visual.LOOKALIKES) and alike["І"] == "I"
+    for a, b in [("\u13a2es", "Tes"), ("\u13daong", "\u13daong"), ("\u0475alue", "value"), ("\u0185ar", "\u0184ar")]:
+        assert (visual.shown_form(a, letters) == visual.shown_form(b, letters)) == (alike.get(a[0], a[0]) == alike.get(b[0], b[0]))
+    assert visual.shown_form("\u13a2\u0475", letters) == alike["\u13a2"] + alike["\u0475"] and alike["\u0475"] == "v"
+    # letters that their own script tells apart stay different
+    for a, b in [("σ", "ο"), ("ո", "ռ"), ("գ", "զ"), ("ı", "i"), ("\u13b3", "\u13d4")]:
+        assert visual.shown_form(a, letters) != visual.shown_form(b, letters)
+
+
+def test_forms_of_arrays_equal_those_of_values():
+    import pyarrow as pa
+
+    texts = [x for pair in SAME + OTHER for x in pair] + ["", " ", "\u200b", " Two\t\n words  ", "\x01 a", "TAB\tX", "a\r\nb"]
+    shown, loose = visual.both_forms(pa.array(texts), visual.Forms(visual.LOOKALIKES))
+    assert shown.to_pylist() == [visual.shown_form(t) for t in texts]
+    assert loose.to_pylist() == [visual.comparison_form(visual.shown_form(t)) for t in texts]
+
+
 def test_same_looking_pairs(spark):
     rows, want = [], set()
     for i, (a, b) in enumerate(SAME):
