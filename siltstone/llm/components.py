@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -25,8 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their number and checksum, observed while they are written."""
+    seen = Observation()
+    return written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges"), tuple(sorted(seen.get.items()))
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -37,12 +39,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     repeated edges count once; no edges give no rows.
     """
     e = edges.select(F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v")).na.drop().where("u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
+    e, mark = _marked(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        before, e = e, written(_small_star(_large_star(e)), "edges")
+        before = e
+        e, now = _marked(_small_star(_large_star(e)))
         discard(before)
-        now = _mark(e)
         if now == mark:
             break
         mark = now

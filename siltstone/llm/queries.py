@@ -84,6 +84,12 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(*_lines(spark, d))
 
 
+def p5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Places of lines that also stand in at least 8 different documents of the site, on at least two days: republished articles don't count."""
+    rec = sites.with_site(spread(read(spark, d, "source_records").select("source_ord", "url", "text", "crawled_at")), read(spark, d, "public_suffixes"))
+    return lines.excessive_lines(rec, clusters_least=8, days_least=2).select(F.col("id").alias("source_ord"), "line_no", "records", "clusters", "days", "site_records")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -114,6 +120,6 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.forms(_documents(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_texts, p6_ids, p7_packing, p7_report, p7_search, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_boilerplate, p5_texts, p6_ids, p7_packing, p7_report, p7_search, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}

@@ -9,9 +9,7 @@ from pyspark.sql.window import Window
 from .common import small
 from .components import connected_components
 
-#: A component above this share of all records is placed on its own, the others by hash; at most 1 / HEAVY_SHARE exist.
-HEAVY_SHARE = 0.01
-#: Hash cells over which the remaining components are cut into ranges.
+#: Cells of the component hash, the units that are given to splits.
 CELLS = 1 << 14
 
 
@@ -35,47 +33,44 @@ def entity_components(records: DataFrame, key: str, entities: list[str]) -> Data
     )
 
 
-def grouped_splits(components: DataFrame, key: str, targets: DataFrame) -> DataFrame:
+def grouped_splits(components: DataFrame, key: str, targets: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """(key, component, split): every component in one split, record shares near the targets.
 
-    Components are counted with map-side partial sums.  Those above HEAVY_SHARE of all records (at most 100) are laid,
-    largest first, into the split with most room.  The hash of every other component is one of CELLS cells; the cells,
-    in order, are cut into ranges in proportion to the room that is left, by counted records.  Records without a component stand alone and
-    are hashed by their key.  Null targets are ignored; an empty table gives no rows.
+    The hash of a component is one of CELLS cells.  Cells are counted with map-side partial sums and given to splits,
+    largest first, each to the split with most room left of its target; so a component that holds a third of all rows is
+    a cell like any other, and its split gets less of the rest.  Records without a component stand alone and are
+    hashed by their key.
+
+    A growing corpus hands over its ``earlier`` assignment (key, split): a component with earlier records stays in the split
+    that most of them are in (it can join components of two splits; then the smaller part moves), and only new components
+    are given to splits.  Null targets, and earlier splits without a target, are ignored; an empty table gives no rows.
     """
     t = [(r[0], float(r[1])) for r in targets.select("split", "target_ratio").na.drop().orderBy(F.desc("target_ratio"), "split").limit(1000).collect() if r[1] > 0]
     if not t:
         raise ValueError("no target ratios")
+    spark = components.sparkSession
     whole = sum(r for _, r in t)
-    rec = components.withColumn("_group", F.coalesce("component", F.xxhash64(F.lit("alone"), F.col(key))))
-    sizes = rec.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
-    total = components.count()
-    heavy = sizes.where(F.col("n") > max(1, total * HEAVY_SHARE)).orderBy(F.desc("n"), "_group").collect()
+    rec = components.select(key, "component").withColumn("_group", F.coalesce("component", F.xxhash64(F.lit("alone"), F.col(key))))
+    rec = rec.withColumn("_cell", F.pmod(F.xxhash64(F.lit("split"), F.col("_group")), F.lit(CELLS)).cast("int"))
+    if earlier is None:
+        rec = rec.withColumn("_kept", F.lit(None).cast("string"))
+    else:
+        old = earlier.select(key, F.col("split").alias("_s")).where(F.col("_s").isin([s for s, _ in t])).dropDuplicates([key])
+        votes = rec.join(old, key).groupBy("_group", "_s").agg(F.count(F.lit(1)).alias("n"))
+        rec = rec.join(votes.groupBy("_group").agg(F.max_by("_s", F.struct("n", "_s")).alias("_kept")), "_group", "left")
+    mass = [(r[0], r[1], r[2]) for r in rec.groupBy("_cell", "_kept").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most CELLS * (splits + 1) rows
+    total = sum(n for _, _, n in mass)
     room = {s: total * r / whole for s, r in t}
-    fixed = {}
-    for row in heavy:
+    for _, kept, n in mass:
+        if kept is not None:
+            room[kept] -= n
+    given = []
+    for n, cell in sorted(((n, c) for c, kept, n in mass if kept is None), key=lambda x: (-x[0], x[1])):
         s = max(room, key=lambda x: room[x])
-        fixed[row["_group"]] = s
-        room[s] -= row["n"]
-    cell = F.pmod(F.xxhash64(F.lit("split"), F.col("_group")), F.lit(CELLS)).cast("int")
-    light = sizes.where(~F.col("_group").isin(list(fixed))) if fixed else sizes
-    mass = {r[0]: r[1] for r in light.groupBy(cell.alias("c")).agg(F.sum("n")).collect()}
-    left = {s: max(0.0, v) for s, v in room.items()}
-    scale = sum(mass.values()) / (sum(left.values()) or 1.0)
-    cuts, bound, run, todo = [], 0.0, 0.0, [(s, left[s] * scale) for s, _ in t]
-    at = 0
-    for s, want in todo[:-1]:
-        bound += want
-        while at < CELLS and run + mass.get(at, 0) / 2 < bound:
-            run += mass.get(at, 0)
-            at += 1
-        cuts.append((at, s))
-    split = F.lit(todo[-1][0])
-    for c, s in reversed(cuts):
-        split = F.when(cell < c, s).otherwise(split)
-    for g, s in fixed.items():
-        split = F.when(F.col("_group") == F.lit(g), s).otherwise(split)
-    return rec.select(F.col(key), "component", split.alias("split"))
+        given.append((cell, s))
+        room[s] -= n
+    place = F.broadcast(spark.createDataFrame(given, "_cell int, _given string"))
+    return rec.join(place, "_cell", "left").select(F.col(key), "component", F.coalesce("_kept", "_given").alias("split"))
 
 
 def straddling(components: DataFrame, records: DataFrame, key: str, split: str = "split") -> DataFrame:

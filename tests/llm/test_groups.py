@@ -67,8 +67,21 @@ def test_splits_keep_groups_and_targets(spark):
         one.setdefault(r["component"], set()).add(r["split"])
     assert all(len(v) == 1 for v in one.values())
     for s, t in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
-        assert abs(sum(r["split"] == s for r in out) / 3000 - t) < 0.02
+        assert abs(sum(r["split"] == s for r in out) / 3000 - t) < 0.01
     assert splits.grouped_splits(lone.limit(0), "id", targets).count() == 0
+    # a corpus that grew: what was placed stays, and the shares are still met
+    more = spark.createDataFrame([(i, 5 if i < 1000 else 10 + i % 900) for i in range(6000)], "id bigint, component bigint")
+    grown = {r["id"]: r for r in splits.grouped_splits(more, "id", targets, splits.grouped_splits(lone, "id", targets)).collect()}
+    moved = {r["component"] for r in out if grown[r["id"]]["split"] != r["split"]}
+    joined = {10 + i % 900 for i in range(1000, 3000)} | {10 + i % 700 for i in range(1000, 3000)}
+    assert moved <= joined and grown[0]["split"] == next(r["split"] for r in out if r["id"] == 0)
+    each: dict = {}
+    for r in grown.values():
+        each.setdefault(r["component"], set()).add(r["split"])
+    assert all(len(v) == 1 for v in each.values()) and abs(sum(r["split"] == "train" for r in grown.values()) / 6000 - 0.8) < 0.05
+    same = spark.createDataFrame([(r["id"], r["component"]) for r in out], "id bigint, component bigint")
+    again = {r["id"]: r["split"] for r in splits.grouped_splits(same, "id", targets, splits.grouped_splits(lone, "id", targets)).collect()}
+    assert again == {r["id"]: r["split"] for r in out}
     rec = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(3000)], "id bigint, split string")
     hit = {r["id"] for r in splits.straddling(lone, rec, "id").collect()}
     assert set(range(1000)) <= hit
