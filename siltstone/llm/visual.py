@@ -108,17 +108,20 @@ def comparison_form(shown: str, alike: dict[str, str] = LOOKALIKES) -> str:
         return " ".join(shown.lower().split())
     t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", shown).casefold())
     t = _IGNORED.sub("", t.replace("\u200d", ""))
-    return " ".join("".join([alike.get(c, c) for c in t]).casefold().split())
+    for c in alike.keys() & set(t):
+        t = t.replace(c, alike[c])
+    return " ".join(t.casefold().split())
 
 
 def both_forms(values: pa.Array, letters: Forms) -> tuple[pa.Array, pa.Array]:
     """Shown and comparison form of an array of texts.  Plain ones are worked out in Arrow, all at once; the rest value by value."""
-    plain = pc.invert(pc.match_substring_regex(values, "[^\n\t\x20-\x7e]"))
-    loose = pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(values), "[\n\t ]+", " "), " ")
-    rest = [shown_form(v, letters) for v in values.filter(pc.invert(plain)).to_pylist()]
+    other = pc.match_substring_regex(values, "[^\n\t\x20-\x7e]")
+    plain = values.filter(pc.invert(other))
+    squeezed = pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(plain), "[\n\t ][\n\t ]+|[\n\t]", " "), " ")
+    rest = [shown_form(v, letters) for v in values.filter(other).to_pylist()]
     mixed = pa.array([comparison_form(s, letters.alike) for s in rest], pa.string())
-    other = pc.invert(plain)
-    return pc.replace_with_mask(values, other, pa.array(rest, pa.string())), pc.replace_with_mask(loose, other, mixed)
+    loose = pc.replace_with_mask(pc.replace_with_mask(values, other, mixed), pc.invert(other), squeezed)
+    return pc.replace_with_mask(values, other, pa.array(rest, pa.string())), loose
 
 
 def forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
