@@ -52,6 +52,24 @@ def best_candidate(rows: DataFrame, by: list[str], limit: float) -> DataFrame:
     return ok.groupBy(*by).agg(F.max_by(F.struct("candidate", "micro_batch", "rate"), F.struct("micro_batch", "rate", -F.col("candidate"))).alias("best")).select(*by, "best.*")
 
 
+def best_loader(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of the candidates that ran, the fastest; of equal ones the first."""
+    ok = rows.where((F.col("status") == "ok") & usable(F.col("rate")))
+    return ok.groupBy(*by).agg(F.max_by(F.struct("candidate", "rate"), F.struct("rate", -F.col("candidate"))).alias("best")).select(*by, "best.*")
+
+
+def loader_grid(workers: DataFrame, pins: list[bool], micro_batch: int, accumulation: int) -> DataFrame:
+    """(ordinal, key, workers, pin_memory, repeated): every number of workers with every pin setting, in the order given (workers: ordinal, workers).
+
+    repeated marks candidates whose key an earlier one has; a valid grid has none.  Both sides are short lists of settings.
+    """
+    p = F.explode(F.array(*[F.struct(F.lit(i).alias("_p"), F.lit(x).alias("pin_memory")) for i, x in enumerate(pins)]))
+    g = workers.select("ordinal", "workers", p.alias("x")).select((F.col("ordinal") * len(pins) + F.col("x._p")).alias("ordinal"), "workers", "x.pin_memory")
+    key = F.format_string("b%d-a%d-w%d-p%d", F.lit(micro_batch), F.lit(accumulation), "workers", F.col("pin_memory").cast("int"))
+    first = g.withColumn("key", key)
+    return first.select("ordinal", "key", "workers", "pin_memory", (F.row_number().over(Window.partitionBy("key").orderBy("ordinal")) > 1).alias("repeated"))
+
+
 def run_plan(prompts: DataFrame, strategies: list[str], warmups: int, measured: int) -> DataFrame:
     """Requests in order: warm-ups, then measured ones, prompts in rotation, strategies alternating within a pair."""
     n = prompts.count()

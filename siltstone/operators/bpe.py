@@ -65,10 +65,10 @@ def round_trip(docs: DataFrame, key: str, text: str, end_id: int, path: str | No
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(left, right, n): adjacent character pairs within words, weighted by word counts: one round's statistics of pair merging.
+    """(left, right, n): adjacent characters within words (runs of letters of any script), weighted by word counts: one round's statistics of pair merging.
 
     Words are counted first with map-side partial sums, so pairs are made from distinct words only.
     """
-    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).where("length(w) > 1").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit("\\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("length(w) > 1")
     pairs = words.select("c", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"), "w").select("c", F.substring("w", F.col("i"), F.lit(1)).alias("left"), F.substring("w", F.col("i") + 1, F.lit(1)).alias("right"))
     return pairs.groupBy("left", "right").agg(F.sum("c").alias("n"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Parts of a key that mark a credential.
+from ..session import ship
+
+# Parts of a key that mark a credential, and starts of private paths.
 CREDENTIAL_PARTS = ["api_key", "apikey", "password", "secret", "token_value", "access_token", "private_key", "credential"]
+PRIVATE = ("home/", "root/", "users/", "c:/")
 
 
 def flatten(tree: Any, prefix: str = "") -> list[tuple[str, str | None, str]]:
@@ -26,6 +31,56 @@ def tree_table(spark: SparkSession, tree: Any) -> DataFrame:
     return spark.createDataFrame(flatten(tree), "path string, value string, type string")
 
 
+def flat_table(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, value, type) of every leaf of each row's JSON document; null documents, and texts that are no strict JSON, give no rows."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                try:
+                    leaves = flatten(strict_json(text)) if text is not None else []
+                except ValueError:
+                    leaves = []
+                at += [i] * len(leaves)
+                out += leaves
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.string()) for c in cols]], names=[key, "path", "value", "type"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(document).cast("string")).mapInArrow(run, f"`{key}` {kind}, path string, value string, type string")
+
+
+def lookup(document: Column, path: str) -> Column:
+    """Text of the value at a dotted path of a JSON document; null where a key is missing or its parent is no object."""
+    return F.get_json_object(document, "$." + path)
+
+
+def load_document(text: str, yaml: bool = False) -> Any:
+    """A configuration from JSON, or from YAML where a parser is installed; repeated keys are an error in both."""
+    if not yaml:
+        return strict_json(text)
+    try:
+        import yaml as parser
+    except ImportError as e:
+        raise RuntimeError("no YAML parser is installed") from e
+
+    class Loader(parser.SafeLoader):
+        pass
+
+    def mapping(loader, node):
+        out = {}
+        for k, v in loader.construct_pairs(node, deep=True):
+            if k in out:
+                raise ValueError(f"the key {k!r} is repeated")
+            out[k] = v
+        return out
+
+    Loader.add_constructor(parser.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
+    return parser.load(text, Loader)
+
+
 def canonical(tree: Any) -> str:
     return json.dumps(tree, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
@@ -60,28 +115,38 @@ def strict_json(text: str) -> Any:
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Paths whose value or type differs between two flattened trees (1, 1.0 and true are three values)."""
-    x = a.select("path", F.struct("value", "type").alias("left"))
-    y = b.select("path", F.struct("value", "type").alias("right"))
-    j = x.join(y, "path", "full").where(~F.col("left").eqNullSafe(F.col("right")))
-    return j.select("path", F.col("left.value").alias("left_value"), F.col("right.value").alias("right_value"))
+def difference(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, path, left_value, right_value) where value or type differs between two flattened trees (1, 1.0 and true are three values)."""
+    on = [*(by or []), "path"]
+    x = a.select(*on, F.struct("value", "type").alias("left"))
+    y = b.select(*on, F.struct("value", "type").alias("right"))
+    j = x.join(y, on, "full").where(~F.col("left").eqNullSafe(F.col("right")))
+    return j.select(*on, F.col("left.value").alias("left_value"), F.col("right.value").alias("right_value"))
+
 
+def held_constant(a: DataFrame, b: DataFrame, paths: list[str], by: str | None = None) -> DataFrame:
+    """(by, path, held) of paths that must be there and equal, value and type, on both sides."""
+    on = [*([by] if by else []), "path"]
+    want = F.broadcast(a.sparkSession.createDataFrame([(p,) for p in paths], "path string"))
+    every = a.select(by).union(b.select(by)).distinct().join(want) if by else want
+    l, r = a.select(*on, F.struct("value", "type").alias("l")), b.select(*on, F.struct("value", "type").alias("r"))
+    x = every.join(l, on, "left").join(r, on, "left")
+    return x.select(*on, (F.col("l").isNotNull() & F.col("l").eqNullSafe(F.col("r"))).alias("held"))
 
-def held_constant(a: DataFrame, b: DataFrame, paths: list[str]) -> DataFrame:
-    """(path, held) of paths that must be equal on both sides."""
-    want = a.sparkSession.createDataFrame([(p,) for p in paths], "path string")
-    x = want.join(a.select("path", F.col("value").alias("l")), "path", "left").join(b.select("path", F.col("value").alias("r")), "path", "left")
-    return x.select("path", (F.col("l").isNotNull() & F.col("l").eqNullSafe(F.col("r"))).alias("held"))
 
+def forbidden(flat: DataFrame, by: list[str] | None = None, prefixes: tuple[str, ...] = PRIVATE) -> DataFrame:
+    """(by, path, violation): leaves under a key that looks like a credential's, inner keys included, and leaves of a path key whose value begins with a forbidden prefix.
 
-def credential_paths(flat: DataFrame, prefixes: tuple[str, ...] = ("/home/", "/root/", "C:\\")) -> DataFrame:
-    """Leaves whose key looks like a credential, or whose value starts like a private path."""
-    key = F.lower("path").rlike("|".join(CREDENTIAL_PARTS))
-    value = F.lit(False)
+    Keys are the steps of the path without list places; a path key ends in path or paths; values are compared in lower case, with slashes, without leading dots and slashes.
+    """
+    keys = F.split(F.lower(F.regexp_replace("path", "\\[\\d+\\]", "")), "\\.")
+    bad = F.exists(keys, lambda k: k.rlike("|".join(CREDENTIAL_PARTS)))
+    value = F.regexp_replace(F.lower(F.regexp_replace(F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v"), "\\\\", "/")), "^[./]+", "")
+    private = F.lit(False)
     for p in prefixes:
-        value = value | F.col("value").startswith('"' + p.replace("\\", "\\\\"))
-    return flat.select("path", F.when(key, "credential_key").when(value, "private_path").alias("violation")).where("violation is not null")
+        private = private | value.startswith(p) | (value == p.rstrip("/"))
+    place = F.element_at(keys, -1).rlike("paths?$") & (F.col("type") == "str") & private
+    return flat.select(*(by or []), "path", F.when(bad, "credential_key").when(place, "private_path").alias("violation")).where("violation is not null")
 
 
 def parameter_count(vocabulary: int, context: int, width: int, layers: int, hidden: int, biased: bool = True, norms: bool = True, tied: bool = True, head_bias: bool = False) -> int:

@@ -59,6 +59,22 @@ def error_stats(a: Column, b: Column, atol: float, rtol: float) -> Column:
     )
 
 
+def overall(rows: DataFrame) -> DataFrame:
+    """One row over all positions (s: error_stats, n: values): greatest and mean difference, argmax matches, least top-5 overlap, values that aren't finite, and whether all positions have one size."""
+    return rows.agg(
+        F.bool_and("s.same_argmax").alias("argmax_matches"), (F.sum(F.col("n") - F.col("s.finite")) == 0).alias("finite"), F.max("s.max_abs").alias("max_abs"), (F.sum(F.col("s.mean_abs") * F.col("n")) / F.sum("n")).alias("mean_abs"),
+        F.min("s.top5_overlap").alias("least_top5_overlap"), F.sum(F.col("n") - F.col("s.finite")).alias("nonfinite"), (F.count_distinct("n") == 1).alias("parameters_stable"),
+    )
+
+
+def stop_reasons(rows: DataFrame, domain: list[str]) -> DataFrame:
+    """(stop_reason, samples, tokens, passes, crops, seconds) for every reason of the domain, zeros included."""
+    sums = ["tokens", "passes", "crops", "seconds"]
+    n = rows.groupBy("stop_reason").agg(F.count(F.lit(1)).alias("samples"), *[F.sum(c).alias(c) for c in sums])
+    d = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in domain], "stop_reason string"))
+    return d.join(n, "stop_reason", "left").select("stop_reason", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("samples", *sums)])
+
+
 def diversity(tokens: Column, n: int = 2) -> Column:
     """Share of distinct n-grams, share of distinct tokens, and entropy of the token distribution in nats."""
     size = F.size(tokens)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import code_points, ratio
+from ..session import written
 
 # Special ids and vocabulary size.
 SPECIALS = {"bos": 0, "eos": 1, "pad": 2, "unk": 3}
@@ -70,13 +71,40 @@ def statistics_rollup(docs: DataFrame) -> DataFrame:
 
 
 def offsets(docs: DataFrame) -> DataFrame:
-    """start_token within the shard and global_start within the split, both as running sums over document order."""
-    shard = Window.partitionBy("split", "shard_index").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
-    d = docs.withColumn("start_token", F.coalesce(F.sum("n_tokens").over(shard), F.lit(0)))
-    sums = d.groupBy("split", "shard_index").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.partitionBy("split").orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return d.join(base, ["split", "shard_index"]).withColumn("global_start", F.col("_base") + F.col("start_token")).drop("_base")
+    """docs with start_token within the shard, global_start within the split's stream, and stream_tokens, the stream's length.
+
+    docs is written once, so text is tokenized once; running sums see lengths alone, and token lists are joined to
+    them by a row number.  Shards are bounded in tokens by their packing, so the window's partitions are bounded too.
+    """
+    t = written(docs.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    n = t.select("_row", "split", "shard_index", "doc_ord", "n_tokens")
+    shard = Window.partitionBy("split", "shard_index").orderBy("doc_ord", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    d = n.withColumn("start_token", F.coalesce(F.sum("n_tokens").over(shard), F.lit(0)))
+    before = Window.partitionBy("split").orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)  # a row per storage shard
+    sums = n.groupBy("split", "shard_index").agg(F.sum("n_tokens").alias("_n"))
+    base = sums.select("split", "shard_index", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy("split")).alias("stream_tokens"))
+    placed = d.join(base, ["split", "shard_index"]).select("_row", "start_token", (F.col("_base") + F.col("start_token")).alias("global_start"), "stream_tokens")
+    return t.join(placed, "_row").drop("_row")
+
+
+def document_starts(shards: DataFrame) -> DataFrame:
+    """shards (split, shard_index, documents) with the documents of all earlier shards of the split."""
+    before = Window.partitionBy("split").orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)  # a row per storage shard
+    return shards.withColumn("document_start", F.coalesce(F.sum("documents").over(before), F.lit(0)))
+
+
+def shard_equalities(docs: DataFrame, stated: DataFrame) -> DataFrame:
+    """Shards, splits and the total against stated sums of their parts: (level, split, shard_index, documents, tokens, stated_documents,
+    stated_tokens, equal).  stated has split, shard_index, documents and tokens of each shard; levels above are its sums."""
+    mine = docs.rollup("split", "shard_index").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.grouping_id().alias("g"))
+    theirs = stated.rollup("split", "shard_index").agg(F.sum("documents").alias("stated_documents"), F.sum("tokens").alias("stated_tokens"), F.grouping_id().alias("g"))
+    a, b = mine.alias("a"), theirs.alias("b")
+    same = F.col("a.split").eqNullSafe(F.col("b.split")) & F.col("a.shard_index").eqNullSafe(F.col("b.shard_index")) & (F.col("a.g") == F.col("b.g"))
+    level = F.element_at(F.array(F.lit("shard"), F.lit("split"), F.lit("total"), F.lit("total")), F.coalesce("a.g", "b.g").cast("int") + 1)
+    equal = F.col("documents").eqNullSafe(F.col("stated_documents")) & F.col("tokens").eqNullSafe(F.col("stated_tokens"))
+    return a.join(b, same, "full").select(
+        level.alias("level"), F.coalesce("a.split", "b.split").alias("split"), F.coalesce("a.shard_index", "b.shard_index").alias("shard_index"), "documents", "tokens", "stated_documents", "stated_tokens", equal.alias("equal")
+    )
 
 
 def index_gaps(index: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 def stream_sizes(docs: DataFrame) -> DataFrame:
+    """(split, n): tokens of each split's stream, a row a split."""
     return docs.groupBy("split").agg(F.sum("n_tokens").alias("n"))
 
 
@@ -20,8 +21,7 @@ def sequential(docs: DataFrame, length: int) -> DataFrame:
     """
     if length < 1:
         raise ValueError("length must be positive")
-    sizes = stream_sizes(docs).select("split", F.floor((F.col("n") - 1) / length).alias("windows"))
-    d = docs.join(F.broadcast(sizes), "split")
+    d = docs.withColumn("windows", F.floor((F.col("stream_tokens") - 1) / length))
     s, e = F.col("global_start"), F.col("global_start") + F.col("n_tokens")
     lo = F.greatest(F.lit(0), F.ceil((s - length) / length))
     hi = F.least(F.col("windows") - 1, F.floor((e - 1) / length))
@@ -57,12 +57,30 @@ def sample_starts(samples: DataFrame, population: Column, seed: int, epoch: int)
     return samples.withColumn("start", F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), population))
 
 
-def batches(rows: DataFrame, index: str, size: int, drop_last: bool) -> DataFrame:
-    """(batch_id, samples, first, last) of consecutive batches; an incomplete last one goes or stays."""
-    b = rows.groupBy(F.floor(F.col(index) / size).alias("batch_id")).agg(F.count(F.lit(1)).alias("samples"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
+def batches(rows: DataFrame, index: str, size: int, drop_last: bool, by: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """(by, batch_id, samples, first_index, last_index) of consecutive batches; an incomplete last one goes or stays.
+
+    ``first`` cuts to so many leading batches before anything is grouped, so nothing behind them is looked at.
+    """
+    at = F.floor(F.col(index) / size)
+    d = rows if first is None else rows.where(F.col(index) < first * size)
+    b = d.groupBy(*(by or []), at.alias("batch_id")).agg(F.count(F.lit(1)).alias("samples"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
     return b.where(F.col("samples") == size) if drop_last else b
 
 
+def cursor(consumed: Column, total: Column, micro_batch: int, accumulation: int) -> dict[str, Column]:
+    """Columns of a training stream's place: samples left, whole micro-batches and updates in them, samples that fill no update, and whether the place is valid.
+
+    Only whole updates are taken, so a place inside an update, or past the end, is not one that a stream can be resumed at.
+    """
+    per = micro_batch * accumulation
+    left = F.greatest(total - consumed, F.lit(0))
+    return {
+        "remaining": left, "micro_batches": F.floor(left / micro_batch), "updates": F.floor(left / per), "unused": left % per,
+        "valid": F.coalesce((consumed >= 0) & (consumed <= total) & (consumed % per == 0), F.lit(False)),
+    }
+
+
 def synthetic(batches: DataFrame, stream: str, seed: int, rows: int, length: int, vocabulary: int, specials: int = 4) -> DataFrame:
     """(batch_index, row, x, y) of made-up tokens: each id comes from (stream, seed, batch, row, place) alone, so any batch can be made again."""
     at = batches.select("batch_index", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators, with their SQL twins."""
 
-from . import corpus, logs, stored, tokens  # noqa: F401
+from . import checks, corpus, logs, stored, tokens  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -226,16 +226,6 @@ def tail_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.expr("right(text, 4000)").alias("tail"))
 
 
-@query("""WITH r AS (SELECT DISTINCT 'shard-' || shard_index || '/' || split || '.jsonl' AS path, shard_index, split FROM clean_records), i AS (SELECT DISTINCT 'shard-' || shard_index || '/' || split || '.jsonl' AS path FROM doc_index WHERE shard_index > 0)
-SELECT coalesce(r.path, i.path) AS path, CASE WHEN i.path IS NULL THEN 'missing' ELSE 'extra' END AS state FROM r FULL JOIN i ON r.path = i.path WHERE r.path IS NULL OR i.path IS NULL""")
-def file_set_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Registered files (of the records) against found ones (of the index, without its first shard), both ways."""
-    name = F.concat(F.lit("shard-"), F.col("shard_index").cast("string"), F.lit("/"), F.col("split"), F.lit(".jsonl")).alias("path")
-    r = clean(spark, d).select(name).distinct().withColumn("a", F.lit(1))
-    i = table(spark, d, "doc_index").where("shard_index > 0").select(name).distinct().withColumn("b", F.lit(1))
-    return r.join(i, "path", "full").where("a is null or b is null").select("path", F.when(F.col("b").isNull(), "missing").otherwise("extra").alias("state"))
-
-
 @query("""WITH c AS (SELECT unnest(['id','text','url','language','language_score','quality_score','provided_token_count','text_sha256']) AS k), s AS (SELECT unnest(['id','text','url','language','language_score','int_score','token_count']) AS k)
 SELECT coalesce(c.k, s.k) AS key, CASE WHEN s.k IS NULL THEN 'unexpected' ELSE 'missing' END AS state FROM c FULL JOIN s ON c.k = s.k WHERE c.k IS NULL OR s.k IS NULL""")
 def key_set_diff(spark: SparkSession, d: str) -> DataFrame:

@@ -15,8 +15,8 @@ from ..sources import binary
 from .base import clean, query, table
 
 
-@query("""WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), c AS (SELECT w, count(*) AS c FROM w WHERE length(w) > 1 GROUP BY 1), p AS (SELECT c, w, unnest(range(1, length(w))) AS i FROM c)
-SELECT w[i] AS left, w[i + 1] AS right, sum(c)::BIGINT AS n FROM p GROUP BY 1, 2""")
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents), c AS (SELECT w, count(*) AS c FROM w GROUP BY 1 HAVING length(w) > 1), p AS (SELECT c, w, unnest(range(1, length(w))) AS i FROM c)
+SELECT substr(w, i, 1) AS left, substr(w, i + 1, 1) AS right, sum(c)::BIGINT AS n FROM p GROUP BY 1, 2""")
 def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.pair_counts(table(spark, d, "documents"))
 

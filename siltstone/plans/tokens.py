@@ -17,8 +17,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return K.token_documents(clean(spark, d))
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return K.offsets(_docs(spark, d))
+def _stream(spark: SparkSession, d: str, tokens: bool = True) -> DataFrame:
+    docs = _docs(spark, d).select("record_no", "split", "shard_index", "doc_ord", "n_tokens", *["tokens"] * tokens)
+    return K.offsets(docs)
 
 
 def _ids_sql(c: str) -> str:
@@ -30,11 +31,6 @@ def token_encode_dummy(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("record_no", "n_tokens", T.ids_digest(F.col("tokens")).alias("ids_sha256"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT record_no, tokens[:16] AS head FROM docs")
-def token_heads(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("record_no", F.slice("tokens", 1, 16).alias("head"))
-
-
 @query(f"""WITH {TOKENS_SQL} SELECT CASE WHEN n_tokens < 2 THEN 'too_short' WHEN tokens[-1] <> 1 THEN 'no_end' WHEN list_min(tokens) < 0 OR list_max(tokens) >= 16384 THEN 'out_of_range' WHEN list_contains(tokens, 3) THEN 'unknown_id' ELSE 'ok' END AS violation, count(*) AS documents FROM docs GROUP BY 1""")
 def token_document_checks(spark: SparkSession, d: str) -> DataFrame:
     return K.document_checks(_docs(spark, d)).groupBy(F.coalesce("violation", F.lit("ok")).alias("violation")).agg(F.count(F.lit(1)).alias("documents"))
@@ -76,7 +72,7 @@ def token_shard_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {STREAM_SQL} SELECT record_no, start_token, global_start FROM placed")
 def token_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d).select("record_no", "start_token", "global_start")
+    return _stream(spark, d, tokens=False).select("record_no", "start_token", "global_start")
 
 
 @query("""WITH w AS (SELECT *, coalesce(lag(start_token + length_tokens) OVER o, 0)::BIGINT AS expected, lag(doc_ord) OVER o AS prev FROM doc_index WINDOW o AS (PARTITION BY split, shard_index ORDER BY doc_ord, start_token, hex(text_sha256))),
@@ -102,16 +98,12 @@ def conservation_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {STREAM_SQL}, s AS (SELECT split, shard_index, min(global_start)::BIGINT AS start, sum(n_tokens)::BIGINT AS tokens FROM placed GROUP BY 1, 2), p AS (SELECT DISTINCT split, (start_token * 7 + 3) % (SELECT sum(n_tokens) FROM placed q WHERE q.split = placed.split)::BIGINT AS position FROM placed)
 SELECT p.split, p.position, s.shard_index, p.position - s.start AS local_position FROM p JOIN s ON s.split = p.split AND p.position >= s.start AND p.position < s.start + s.tokens""")
 def position_to_shard(spark: SparkSession, d: str) -> DataFrame:
-    st = _stream(spark, d)
+    st = _stream(spark, d, tokens=False)
     shards = st.groupBy("split", "shard_index").agg(F.min("global_start").alias("start"), F.sum("n_tokens").alias("tokens"))
-    sizes = W.stream_sizes(st)
-    p = st.join(F.broadcast(sizes), "split").select("split", ((F.col("start_token") * 7 + 3) % F.col("n")).alias("position")).distinct()
+    p = st.select("split", ((F.col("start_token") * 7 + 3) % F.col("stream_tokens")).alias("position")).distinct()
     return K.shard_of_position(p, shards)
 
 
-_PIECES = f"""WITH {STREAM_SQL}, flat AS (SELECT split, global_start + unnest(range(n_tokens)) AS pos, unnest(tokens) AS t FROM placed), sz AS (SELECT split, count(*) AS n FROM flat GROUP BY 1)"""
-
-
 @query(f"""WITH {STREAM_SQL}, sz AS (SELECT split, (sum(n_tokens)::BIGINT - 1) // 512 AS nw FROM docs GROUP BY 1),
 r AS (SELECT split, global_start AS s, global_start + n_tokens AS e, tokens, unnest(range(greatest(0, (global_start - 1) // 512), least(nw - 1, (global_start + n_tokens - 1) // 512) + 1)) AS k FROM placed JOIN sz USING (split)),
 p AS (SELECT split, k, greatest(k * 512, s) AS a, least(k * 512 + 513, e) AS z, s, tokens FROM r), w AS (SELECT split, k, flatten(list(tokens[a - s + 1:z - s] ORDER BY a)) AS c FROM p WHERE a < z GROUP BY 1, 2)
@@ -122,21 +114,28 @@ def windows_sequential(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _starts_sql(what: str, where: str = "true") -> str:
-    return f"""{_PIECES}, q AS (SELECT split, n, unnest(range(40)) AS sample_index FROM sz), st AS (SELECT split, sample_index, {what} AS start FROM q WHERE {where}),
-g AS (SELECT st.split, sample_index, start, list(t ORDER BY pos) AS c FROM st JOIN flat f ON f.split = st.split AND pos BETWEEN start AND start + 128 GROUP BY ALL)
-SELECT split, sample_index, start, c[1:128] AS x, c[2:129] AS y FROM g"""
+    return f"""WITH {STREAM_SQL}, sz AS (SELECT split, sum(n_tokens)::BIGINT AS n FROM docs GROUP BY 1), q AS (SELECT split, n, unnest(range((n - 1) // 128)) AS sample_index FROM sz), st AS (SELECT split, sample_index, {what} AS start FROM q WHERE {where}),
+p AS (SELECT st.split, sample_index, start, greatest(start, global_start) AS a, least(start + 129, global_start + n_tokens) AS z, global_start AS s, tokens FROM st JOIN placed f ON f.split = st.split AND f.global_start < start + 129 AND f.global_start + n_tokens > start),
+g AS (SELECT split, sample_index, start, flatten(list(tokens[a - s + 1:z - s] ORDER BY a)) AS c FROM p GROUP BY 1, 2, 3)
+SELECT split, sample_index, start, {_ids_sql('c[1:128]')} AS x_sha256, {_ids_sql('c[2:129]')} AS y_sha256 FROM g"""
+
 
+def _samples(st: DataFrame) -> DataFrame:
+    """One epoch's draws: as many a split as it has windows side by side."""
+    n = st.groupBy("split").agg(F.max("stream_tokens").alias("n")).where("n > 128")
+    return n.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 128) - 1)))
 
-def _samples(spark: SparkSession, st: DataFrame) -> DataFrame:
-    return W.stream_sizes(st).withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("sample_index", F.col("sample_index").cast("bigint"))
 
+def _windows(st: DataFrame, starts: DataFrame) -> DataFrame:
+    w = W.at_starts(st, starts.select("split", "sample_index", "start"), 128)
+    return w.select("split", "sample_index", "start", T.ids_digest(F.col("x")).alias("x_sha256"), T.ids_digest(F.col("y")).alias("y_sha256"))
 
-@query(_starts_sql("sample_index * ((n - 128) // 40)"))
+
+@query(_starts_sql("(sample_index * 97) % (n - 128)"))
 def windows_all_starts_sample(spark: SparkSession, d: str) -> DataFrame:
-    """All-starts windows at an even stride over the whole stream of each split."""
+    """Windows of the all-starts population (every place but the last 128) at a stride of 97, around each split's stream."""
     st = _stream(spark, d)
-    s = _samples(spark, st).select("split", "sample_index", (F.col("sample_index") * F.floor((F.col("n") - 128) / 40)).alias("start"))
-    return W.at_starts(st, s, 128)
+    return _windows(st, _samples(st).withColumn("start", (F.col("sample_index") * 97) % (F.col("n") - 128)))
 
 
 _DRAW = "('0x' || substr(sha256('42:3:' || sample_index), 1, 15))::BIGINT % (n - 128)"
@@ -144,26 +143,25 @@ _DRAW = "('0x' || substr(sha256('42:3:' || sample_index), 1, 15))::BIGINT % (n -
 
 @query(_starts_sql(_DRAW))
 def windows_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """All draws of an epoch."""
     st = _stream(spark, d)
-    return W.at_starts(st, W.sample_starts(_samples(spark, st), F.col("n") - 128, 42, 3).select("split", "sample_index", "start"), 128)
+    return _windows(st, W.sample_starts(_samples(st), F.col("n") - 128, 42, 3))
 
 
 @query(_starts_sql(_DRAW, "sample_index >= 25"))
 def windows_sampled_resume(spark: SparkSession, d: str) -> DataFrame:
-    """The same draw resumed at an offset, which no earlier draw is needed for."""
+    """The same draw resumed after 25 samples, for which no earlier draw is needed."""
     st = _stream(spark, d)
-    s = _samples(spark, st).where("sample_index >= 25")
-    return W.at_starts(st, W.sample_starts(s, F.col("n") - 128, 42, 3).select("split", "sample_index", "start"), 128)
+    return _windows(st, W.sample_starts(_samples(st).where("sample_index >= 25"), F.col("n") - 128, 42, 3))
 
 
 _BATCH = f"WITH {TOKENS_SQL}, w AS (SELECT split, unnest(range((sum(n_tokens)::BIGINT - 1) // 512)) AS i FROM docs GROUP BY split), b AS (SELECT split, i // 16 AS batch_id, count(*) AS samples, min(i) AS first_index, max(i) AS last_index FROM w GROUP BY 1, 2)"
 
 
-def _batched(spark: SparkSession, d: str, drop: bool) -> DataFrame:
+def _batched(spark: SparkSession, d: str, drop: bool, first: int | None = None) -> DataFrame:
     n = W.stream_sizes(_docs(spark, d)).withColumn("w", F.floor((F.col("n") - 1) / 512)).where("w > 0")
     rows = n.select("split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w") - 1)).alias("i"))
-    b = rows.groupBy("split", F.floor(F.col("i") / 16).alias("batch_id")).agg(F.count(F.lit(1)).alias("samples"), F.min("i").alias("first_index"), F.max("i").alias("last_index"))
-    return b.where("samples = 16") if drop else b
+    return W.batches(rows, "i", 16, drop, ["split"], first)
 
 
 @query(f"{_BATCH} SELECT * FROM b WHERE samples = 16")
@@ -176,6 +174,21 @@ def batches_keep_tail(spark: SparkSession, d: str) -> DataFrame:
     return _batched(spark, d, False)
 
 
+@query(f"{_BATCH} SELECT * FROM b WHERE batch_id < 3")
+def batches_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first three batches of each split (their number is the feature)."""
+    return _batched(spark, d, False, 3)
+
+
+@query(f"""WITH {TOKENS_SQL}, s AS (SELECT split, sum(n_tokens)::BIGINT - 512 AS total FROM docs GROUP BY 1), c AS (SELECT split, total, unnest([0, 64, 100, total // 64 * 64, total + 64]) AS consumed FROM s)
+SELECT split, consumed, greatest(total - consumed, 0) AS remaining, greatest(total - consumed, 0) // 8 AS micro_batches, greatest(total - consumed, 0) // 64 AS updates, greatest(total - consumed, 0) % 64 AS unused, consumed BETWEEN 0 AND total AND consumed % 64 = 0 AS valid FROM c""")
+def stream_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Places in each split's all-starts population with micro-batches of 8 and updates of 8 of them."""
+    n = W.stream_sizes(_docs(spark, d)).withColumn("total", F.col("n") - 512)
+    c = n.select("split", "total", F.explode(F.array(F.lit(0), F.lit(64), F.lit(100), F.floor(F.col("total") / 64) * 64, F.col("total") + 64)).alias("consumed"))
+    return c.select("split", "consumed", *[v.alias(k) for k, v in W.cursor(F.col("consumed"), F.col("total"), 8, 8).items()])
+
+
 @query(f"WITH {TOKENS_SQL}, s AS (SELECT split, sum(n_tokens)::BIGINT AS n FROM docs GROUP BY 1) SELECT split, n, n - 512 AS all_starts, (n - 1) // 512 AS sequential, (n - 1) % 512 AS remainder, ((n - 1) // 512) * 512 + (n - 1) % 512 = n - 1 AS conserved FROM s")
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n")
@@ -235,14 +248,7 @@ def synthetic_batches(spark: SparkSession, d: str) -> DataFrame:
     return W.synthetic(b, "train", 42, 4, 16, K.VOCABULARY)
 
 
-@query(f"""WITH {TOKENS_SQL}, t AS (SELECT record_no, tokens[1:48] AS t FROM docs), r AS (SELECT record_no, t, unnest(range(1, 9)) AS n FROM t WHERE true), h AS (SELECT record_no, n, len(list_distinct(list_transform(range(1, len(t) - n + 2), lambda i: t[i:i + n - 1]))) < len(t) - n + 1 AS hit FROM r WHERE len(t) > n)
-SELECT t.record_no, coalesce(max(CASE WHEN hit THEN n END), 0)::INT AS longest FROM t LEFT JOIN h ON h.record_no = t.record_no GROUP BY 1""")
-def generation_longest_repeat(spark: SparkSession, d: str) -> DataFrame:
-    """Longest repeated run, up to 8, in the first 48 ids of each document (the length of a generated sample)."""
-    return _docs(spark, d).select("record_no", G.longest_repeat(F.slice("tokens", 1, 48), 8).alias("longest"))
-
-
 @query()
-def generation_longest_repeat_whole(spark: SparkSession, d: str) -> DataFrame:
+def generation_longest_repeat(spark: SparkSession, d: str) -> DataFrame:
     """Longest repeated run of each document's whole id list, of any length."""
     return G.longest_repeats(_docs(spark, d), "record_no", "tokens")
