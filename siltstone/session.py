@@ -34,11 +34,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder every executor shares: ``spark.checkpoint.dir``; in local mode, where that is unset (tests), a temporary one.
+
+    On a cluster a folder of one machine would hold only what that machine wrote, so there the setting must be made.
+    """
     global _local_root
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
@@ -84,7 +89,16 @@ def _drop_written() -> None:
 atexit.register(_drop_written)
 
 
+#: A scan of more bytes a core than this has work enough for every core, whatever its partitions.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan dealt to all cores if it has fewer partitions than there are cores, as a small unsplittable file has; else as it is."""
+    """A small scan dealt to all cores if it has fewer partitions than there are cores, as a small unsplittable file has; else as it is.
+
+    Only scans of at most SPREAD_BYTES a core are shuffled for it, so no large table ever is.
+    """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    if scan.rdd.getNumPartitions() >= cores or int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES * cores:
+        return scan
+    return scan.repartition(cores)

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .store import write_whole
 
 # Fixed values of the format: magics, layouts, codes.
 TOKEN_MAGIC, INDEX_MAGIC, VERSION = b"SGPTTOK1", b"SGPTIDX1", 1
@@ -111,11 +110,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         shard = Shard(split, lists.flatten().to_numpy(), lengths, [bytes.fromhex(x) for x in t.column("text_sha256").to_pylist()], t.column("token_start")[0].as_py(), t.column("document_start")[0].as_py())
         out = encode_shard(shard)
         for suffix, data in zip((".bin", ".idx"), out):
-            place = Path(folder) / f"{split}-{index:05d}{suffix}"
-            place.parent.mkdir(parents=True, exist_ok=True)
-            temp = place.with_name(f".{place.name}.{os.getpid()}")
-            temp.write_bytes(data)
-            os.replace(temp, place)
+            write_whole(folder, f"{split}-{index:05d}{suffix}", data)
         return pa.table({"split": [split], "shard_index": pa.array([index], pa.int32()), "documents": [len(lengths)], "tokens": [len(shard.tokens)], "bytes": [len(out[0])], "sha256": [hashlib.sha256(out[0]).hexdigest()]})
 
     ship(docs.sparkSession)
@@ -137,17 +132,20 @@ def read_index(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(split, shard_index, doc_ord, tokens) of all shards: each index joined to its payload by name, which is checked against the index's digest."""
+    """(split, shard_index, doc_ord, start_token, length_tokens, token_start, text_sha256, tokens) of all shards: each index joined to its payload by name, which is
+    checked against the index's digest; every document must end with the end id.  token_start is the shard's place in its split."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         files = {p[-4:]: raw for p, raw in zip(table.column("path").to_pylist(), table.column("content").to_pylist())}
         head, entries = decode_index(files[".idx"])
         if hashlib.sha256(files[".bin"]).digest() != head["binary_sha256"]:
             raise ValueError("the index belongs to another token file")
-        _, ids = decode_tokens(files[".bin"])
+        stated, ids = decode_tokens(files[".bin"])
+        if (stated["tokens"], stated["documents"]) != (head["tokens"], head["documents"]) or any(ids[s + n - 1] != stated["end_id"] for s, n, _ in entries):
+            raise ValueError("the index doesn't fit the payload")
         split, _, index = key[0].as_py().rpartition("-")
-        return pa.table({"split": [split] * len(entries), "shard_index": pa.array([int(index)] * len(entries), pa.int32()), "doc_ord": list(range(len(entries))), "tokens": pa.array([ids[s : s + n].astype(np.int32) for s, n, _ in entries], pa.list_(pa.int32()))})
+        return pa.table({"split": [split] * len(entries), "shard_index": pa.array([int(index)] * len(entries), pa.int32()), "doc_ord": list(range(len(entries))), "start_token": [s for s, _, _ in entries], "length_tokens": [n for _, n, _ in entries], "token_start": [head["token_start"]] * len(entries), "text_sha256": [h.hex() for _, _, h in entries], "tokens": pa.array([ids[s : s + n].astype(np.int32) for s, n, _ in entries], pa.list_(pa.int32()))})
 
     ship(spark)
     files = spark.read.format("binaryFile").load(f"{folder}/*").where("path like '%.idx' or path like '%.bin'").select("path", "content").withColumn("name", F.regexp_extract("path", "([^/]+)\\.(?:bin|idx)$", 1))
-    return files.groupBy("name").applyInArrow(run, "split string, shard_index int, doc_ord bigint, tokens array<int>")
+    return files.groupBy("name").applyInArrow(run, "split string, shard_index int, doc_ord bigint, start_token bigint, length_tokens bigint, token_start bigint, text_sha256 string, tokens array<int>")

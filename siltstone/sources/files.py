@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import tempfile
@@ -12,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import encode
+
 #: Environment variable that names a local cache of the source files.
 CACHE_VARIABLE = "SILTSTONE_SOURCE_CACHE"
 
@@ -72,13 +73,9 @@ def file_table(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def _encode(value) -> bytes:
-    return (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n").encode()
-
-
 def write_json(path: str | Path, value) -> bool:
     """Writes through a temporary file, a flush to disk and a rename; the same bytes are left alone (False)."""
-    path, data = Path(path), _encode(value)
+    path, data = Path(path), encode(value)
     if path.exists() and path.read_bytes() == data:
         return False
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -100,7 +97,7 @@ def publish_new(path: str | Path, value) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     with tempfile.NamedTemporaryFile(dir=path.parent, delete=False) as f:
-        f.write(_encode(value))
+        f.write(encode(value))
     try:
         os.link(f.name, path)
     finally:

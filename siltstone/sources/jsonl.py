@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -10,24 +11,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.contracts import strict_json
+from ..operators.metrics import step_regressions
 from ..session import ship
+from .store import Store
 
 #: Events of a metric log.
 METRIC = "event string, step bigint, tokens_seen bigint, train_loss double, learning_rate double, grad_norm double, tokens bigint, elapsed_seconds double, validation_loss double, perplexity double, checkpoint_path string"
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_no, line_no, line) with lines numbered from 1 in each file.
+    """(file_no, line_no, line) with lines numbered from 1 in each file; an empty file has none.
 
-    A file is a bounded shard, read whole by one task; files run in parallel.
+    Files are read in blocks by as many tasks as there are.  A task numbers its blocks' lines, blocks are
+    counted (a few rows), and the lines of earlier blocks are added; so neither a file nor a task has to hold all lines.
     """
-    whole = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("text"))
-    order = spark.createDataFrame([(i, p if ":" in p else f"file:{p}") for i, p in enumerate(paths)], "file_no int, path string")
-    body = F.regexp_replace("text", "\n\\z", "")
-    d = whole.join(F.broadcast(order), "path").select("file_no", F.col("text").endswith("\n").alias("closed"), F.posexplode(F.split(body, "\n")).alias("i", "line"))
-    return d.select("file_no", (F.col("i") + 1).alias("line_no"), "line", "closed")
+    ship(spark)
+    store = Store(spark)
+    order = spark.createDataFrame([(i, re.sub("^file:/+", "file:/", store.qualified(p))) for i, p in enumerate(paths)], "file_no int, path string")
+    if len({r for r in paths}) != len(paths):
+        raise ValueError("a file is given twice")
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    text = spark.read.option("lineSep", "\n").text(paths).select(name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for b in batches:
+            place = []
+            for here in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, n = here, n + 1 if here == at else 1
+                place.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], names=["path", "block", "line", "n"])
+
+    rows = text.mapInArrow(number, "path string, block bigint, line string, n bigint")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    blocks = rows.groupBy("path", "block").agg(F.max("n").alias("_m")).select("path", "block", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_b"))
+    return rows.join(blocks, ["path", "block"]).join(F.broadcast(order), "path").select("file_no", (F.col("_b") + F.col("n")).alias("line_no"), "line")
 
 
 def checked(spark: SparkSession, paths: list[str], schema: str, text: str | None = None, tokens: str | None = None) -> DataFrame:
@@ -59,7 +80,7 @@ def checked(spark: SparkSession, paths: list[str], schema: str, text: str | None
                 clean.append(out)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string()), pa.array(clean, pa.string())], names=["file_no", "line_no", "violation", "row"])
 
-    d = lines(spark, paths).select("file_no", "line_no", "line").mapInArrow(run, "file_no int, line_no int, violation string, row string")
+    d = lines(spark, paths).select("file_no", F.col("line_no").cast("int"), "line").mapInArrow(run, "file_no int, line_no int, violation string, row string")
     return d.select("file_no", "line_no", "violation", F.from_json("row", want).alias("r")).select("file_no", "line_no", "violation", "r.*")
 
 
@@ -74,15 +95,12 @@ def read_strict(spark: SparkSession, paths: list[str], schema: str, text: str |
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     """A metric log: last line closed, no blank lines, no NaN constants, steps never falling."""
-    if not Path(path.removeprefix("file:")).read_bytes().endswith(b"\n"):
+    if Store(spark).last_byte(path) != ord("\n"):
         raise ValueError("the last line is incomplete")
     d = read_strict(spark, [path], METRIC, text="event")
-    steps = d.where("step is not null").orderBy("file_no", "line_no").select("step").toLocalIterator()
-    last = None
-    for (step,) in steps:
-        if last is not None and step < last:
-            raise ValueError(f"step {step} comes after {last}")
-        last = step
+    wrong = step_regressions(d, "line_no", run="file_no").orderBy("line_no").select("step", "highest_before").take(1)
+    if wrong:
+        raise ValueError(f"step {wrong[0][0]} comes after {wrong[0][1]}")
     return d
 
 
