@@ -16,8 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else df as it is (then a shuffle join is used)."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    """df with a broadcast hint if it has at most that many rows, else df as it is (then a shuffle join is used).
+
+    Rows are counted in Spark, up to the bound; those of these tables are some dozen bytes each.
+    """
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
 
 
 __all__ = ["MIX", "MIX2", "MIX3", "discard", "mix", "read", "ship", "small", "spread", "starts", "written"]

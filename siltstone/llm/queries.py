@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosssplit, lines, neardup, packing, quality, sites, splits, tokenize, visual
+from . import crosssplit, lines, neardup, packing, quality, sites, splits, tokenize, twins, visual
 from .common import read, small, spread, written
 
 
@@ -122,4 +122,4 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_stats, p2_mixture, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_boilerplate, p5_texts, p6_ids, p7_packing, p7_report, p7_search, p8_found, p8_forms)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(twins.SQL)
