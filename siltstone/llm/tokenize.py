@@ -88,8 +88,25 @@ class ByteBpe:
         home = self._slot(self.table_key[self.table_key >= 0])
         self.probes = int(((np.flatnonzero(self.table_key >= 0) - home) & (size - 1)).max()) + 1 if len(key) else 1
         self.split = regex.compile(pattern).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the pool of piece ids: known maps a piece to its row of pool_at and pool_len, pool_ids holds all ids."""
         self.known: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
+        self.pool_at, self.pool_len, self.pool_ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _keep(self, pieces: list[str], ids: list[np.ndarray]) -> None:
+        """Appends pieces to the pool, whose arrays double when they are full."""
+        n, k = np.array([len(x) for x in ids], np.int64), len(self.known)
+        while len(self.pool_at) < k + len(n):
+            self.pool_at, self.pool_len = np.concatenate([self.pool_at, self.pool_at]), np.concatenate([self.pool_len, self.pool_len])
+        while len(self.pool_ids) < self.used + n.sum():
+            self.pool_ids = np.concatenate([self.pool_ids, self.pool_ids])
+        at = starts(n)
+        self.pool_at[k : k + len(n)], self.pool_len[k : k + len(n)] = self.used + at[:-1], n
+        self.pool_ids[self.used : self.used + at[-1]] = np.concatenate(ids)
+        self.used += int(at[-1])
+        self.known.update(zip(pieces, range(k, k + len(n))))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -201,14 +218,12 @@ class ByteBpe:
             for i, ids in zip(some.tolist(), self.merge_rows(m)):
                 done[i] = ids
             lo = hi
-        for p, ids in zip(pieces, done):
-            self.known[p] = len(self.pool)
-            self.pool.append(ids)
+        self._keep(pieces, done)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and offsets; null and empty texts have none."""
-        if len(self.pool) > _KEPT:
-            self.known, self.pool = {}, []
+        if len(self.known) > _KEPT:
+            self._forget()
         every: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
@@ -220,16 +235,13 @@ class ByteBpe:
         fresh = list(dict.fromkeys(p for p in set(every) if p not in known))
         if fresh:
             self.learn(fresh)
-            self.pool_len = np.array([len(x) for x in self.pool], np.int64)
-            self.pool_at = starts(self.pool_len)
-            self.pool_flat = np.concatenate(self.pool) if self.pool else np.zeros(0, np.int64)
         which = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
         if not len(which):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         n = self.pool_len[which]
         off = starts(n)
         take = np.repeat(self.pool_at[which] - off[:-1], n) + np.arange(off[-1])
-        return self.pool_flat[take].astype(np.int32), off[starts(counts)]
+        return self.pool_ids[take], off[starts(counts)]
 
 
 _open: dict[tuple[str, str], ByteBpe] = {}
