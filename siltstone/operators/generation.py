@@ -34,12 +34,14 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     return F.transform(z, lambda v: v / F.aggregate(z, F.lit(0.0), lambda a, x: a + x))
 
 
-def nucleus(rows: DataFrame, key: str, logits: str, p: float) -> DataFrame:
-    """(key, token, probability) of the tokens whose more probable ones add up to p at most; the first always stays.
+def nucleus(rows: DataFrame, key: str, logits: str, p: float, temperature: float = 1.0) -> DataFrame:
+    """(key, token, probability) of the tokens whose more probable ones add up to p at most, at a temperature; the first always stays.
 
     The fold runs inside the row over its sorted list, so no row is exploded into a window.
     """
-    probs = rows.select(key, ranked(softmax(F.col(logits))).alias("r"))
+    if temperature <= 0:
+        raise ValueError("the temperature must be positive")
+    probs = rows.select(key, ranked(softmax(F.col(logits), temperature)).alias("r"))
     fold = F.aggregate(
         "r",
         F.struct(F.lit(0.0).alias("sum"), F.expr("cast(array() as array<struct<token:int,probability:double>>)").alias("out")),

@@ -96,9 +96,16 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_BENCH} SELECT scenario, strategy, count(*) AS samples, round(avg(metric), 8) AS mean, median(metric) AS median, quantile_disc(metric, 0.95) AS p95, min(metric) AS minimum, max(metric) AS maximum FROM bench WHERE phase <> 'warmup' AND metric >= 0 GROUP BY 1, 2")
+_METRICS = ["metric", "generated", "ttft", "seconds", "rate"]
+
+
+@query(f"""WITH {_BENCH}, wide AS (SELECT *, generated / seconds AS rate FROM bench WHERE phase <> 'warmup'), m AS ({" UNION ALL ".join(f"SELECT scenario, strategy, '{c}' AS name, {c}::DOUBLE AS v FROM wide" for c in _METRICS)})
+SELECT scenario, strategy, name, count(*) AS samples, round(avg(v), 8) AS mean, median(v) AS median, quantile_disc(v, 0.95) AS p95, min(v) AS minimum, max(v) AS maximum FROM m WHERE v >= 0 GROUP BY 1, 2, 3""")
 def bench_summary(spark: SparkSession, d: str) -> DataFrame:
-    return B.summary(_bench(spark, d), ["scenario", "strategy"], "metric").withColumn("mean", F.round("mean", 8))
+    """Five metrics of each scenario and strategy."""
+    rows = _bench(spark, d).withColumn("rate", F.col("generated") / F.col("seconds"))
+    long = rows.unpivot(["scenario", "strategy", "phase"], [F.col(c).cast("double").alias(c) for c in _METRICS], "name", "v")
+    return B.summary(long, ["scenario", "strategy", "name"], "v").withColumn("mean", F.round("mean", 8))
 
 
 _PAIRS = f"""{_BENCH}, p AS (SELECT pair_index, max(CASE WHEN strategy = 'reference' THEN metric END) AS reference, max(CASE WHEN strategy = 'cached' THEN metric END) AS cached, count(*) AS n FROM bench GROUP BY 1),
@@ -295,11 +302,11 @@ def topk_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", G.top_k(F.col("embedding"), 8).alias("tokens"))
 
 
-@query(f"""WITH l AS ({_LOGITS}), f AS (SELECT vec_id, unnest(range(len(e))) AS t, unnest(e) AS v FROM l), z AS (SELECT vec_id, t, exp(v - max(v) OVER (PARTITION BY vec_id)) AS x FROM f),
+@query(f"""WITH l AS ({_LOGITS}), f AS (SELECT vec_id, unnest(range(len(e))) AS t, unnest(e) AS v FROM l), z AS (SELECT vec_id, t, exp((v - max(v) OVER (PARTITION BY vec_id)) / 0.7) AS x FROM f),
 p AS (SELECT vec_id, t, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM z), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p)
 SELECT vec_id, t AS token, round(p, 8) AS probability FROM c WHERE b IS NULL OR b <= 0.3""")
 def nucleus_filter(spark: SparkSession, d: str) -> DataFrame:
-    return G.nucleus(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("probability", F.round("probability", 8))
+    return G.nucleus(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3, 0.7).withColumn("probability", F.round("probability", 8))
 
 
 @query(f"""WITH l AS ({_LOGITS}), j AS (SELECT a.vec_id, a.e AS x, b.e AS y FROM l a JOIN l b ON b.vec_id = a.vec_id + 1), q AS (SELECT vec_id, x, y, list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2])) AS df FROM j),

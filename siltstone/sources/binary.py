@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .store import write_whole
+from .store import file_system, write_whole
 
 # Fixed values of the format: magics, layouts, codes.
 TOKEN_MAGIC, INDEX_MAGIC, VERSION = b"SGPTTOK1", b"SGPTIDX1", 1
@@ -131,6 +131,28 @@ def read_index(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "path string, doc_ord bigint, start_token bigint, length_tokens bigint, text_sha256 binary")
 
 
+def read_slices(slices: DataFrame, folder: str) -> DataFrame:
+    """slices (split, shard_index, start, n) with their ids: a task seeks to each slice and reads its bytes alone, however long the payload is.
+
+    A slice that isn't inside its payload is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        for b in batches:
+            out = []
+            for split, shard, start, n in zip(*(c.to_pylist() for c in b.columns)):
+                with fs.open_input_file(f"{root}/{split}-{shard:05d}.bin") as f:
+                    if start < 0 or n < 0 or TOKEN_LAYOUT.size + 2 * (start + n) > f.size():
+                        raise ValueError("the slice isn't inside its shard")
+                    out.append(np.frombuffer(f.read_at(2 * n, TOKEN_LAYOUT.size + 2 * start), "<u2").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["split", "shard_index", "start", "n", "ids"])
+
+    ship(slices.sparkSession)
+    d = slices.select("split", F.col("shard_index").cast("int"), F.col("start").cast("bigint"), F.col("n").cast("int"))
+    return d.mapInArrow(run, "split string, shard_index int, start bigint, n int, ids array<int>")
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(split, shard_index, doc_ord, start_token, length_tokens, token_start, text_sha256, tokens) of all shards: each index joined to its payload by name, which is
     checked against the index's digest; every document must end with the end id.  token_start is the shard's place in its split."""

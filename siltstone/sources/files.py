@@ -35,6 +35,13 @@ def resolve_sources(paths: list[str], base: str, variable: str = CACHE_VARIABLE)
     return [f"{root.rstrip('/')}/{check_source_path(p)}" for p in paths]
 
 
+def pinned_sources(paths: list[str], base: str, revision: str) -> list[str]:
+    """Places of the source files of one revision of a data set, base/revision/path; a revision is a full 40-digit hash, never a moving name."""
+    if not re.fullmatch("[0-9a-f]{40}", revision):
+        raise ValueError("the revision must be a full hash")
+    return resolve_sources(paths, f"{base.rstrip('/')}/{revision}")
+
+
 def read_sources(spark: SparkSession, places: list[str], columns: list[str]) -> DataFrame:
     """Explicit Parquet files as one table with only the wanted columns, and file order and row order as source_ord.
 

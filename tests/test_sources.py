@@ -39,6 +39,10 @@ def test_binary_sink_and_scan(spark, tmp_path):
     back = {(r["split"], r["doc_ord"]): r["tokens"] for r in binary.read_documents(spark, str(tmp_path)).collect()}
     assert back == {("train", 0): [5, 6, 1], ("train", 1): [7, 1], ("test", 0): [9, 1]}
     assert binary.read_index(spark, f"{tmp_path}/train*.idx").count() == 2
+    want = spark.createDataFrame([("train", 0, 1, 3), ("test", 0, 0, 2), ("train", 0, 5, 0)], "split string, shard_index int, start bigint, n int")
+    assert {(r["split"], r["start"]): r["ids"] for r in binary.read_slices(want, str(tmp_path)).collect()} == {("train", 1): [6, 1, 7], ("test", 0): [9, 1], ("train", 5): []}
+    with pytest.raises(Exception, match="inside"):
+        binary.read_slices(want.withColumn("n", F.lit(9)), str(tmp_path)).collect()
 
 
 def test_strict_lines(spark, tmp_path):
@@ -243,6 +247,9 @@ def test_sources_are_read_in_order(spark, tmp_path):
     assert got == [10, 11, 12, 13, 14, 0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         files.read_sources(spark, [], ["id"])
+    assert files.pinned_sources(["a/b.parquet"], "s3://x/", "ab" * 20) == [f"s3://x/{'ab' * 20}/a/b.parquet"]
+    with pytest.raises(ValueError):
+        files.pinned_sources(["a.parquet"], "s3://x", "main")
     with pytest.raises(ValueError):
         files.resolve_sources(["a.parquet", "a.parquet"], "/data")
 
