@@ -137,15 +137,17 @@ def read_slices(slices: DataFrame, folder: str) -> DataFrame:
     A slice that isn't inside its payload is an error.
     """
 
+    head = TOKEN_LAYOUT.size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         for b in batches:
             out = []
             for split, shard, start, n in zip(*(c.to_pylist() for c in b.columns)):
                 with fs.open_input_file(f"{root}/{split}-{shard:05d}.bin") as f:
-                    if start < 0 or n < 0 or TOKEN_LAYOUT.size + 2 * (start + n) > f.size():
+                    if start < 0 or n < 0 or head + 2 * (start + n) > f.size():
                         raise ValueError("the slice isn't inside its shard")
-                    out.append(np.frombuffer(f.read_at(2 * n, TOKEN_LAYOUT.size + 2 * start), "<u2").astype(np.int32))
+                    out.append(np.frombuffer(f.read_at(2 * n, head + 2 * start), "<u2").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["split", "shard_index", "start", "n", "ids"])
 
     ship(slices.sparkSession)
