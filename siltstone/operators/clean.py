@@ -140,6 +140,14 @@ def shard_metadata(rows: DataFrame) -> DataFrame:
     return m.join(maps, "shard_index", "left").withColumn("removed", F.coalesce("removed", F.lit("")))
 
 
+def contiguity(shards: DataFrame) -> DataFrame:
+    """(shard_index, source_start, source_end, contiguous, in_sequence): whether a shard begins where the one before it ends, and whether there is one (shard 0 needs none)."""
+    before = shards.select((F.col("shard_index") + 1).alias("shard_index"), F.col("source_end").alias("_end"))
+    first = F.col("shard_index") == 0
+    j = shards.join(before, "shard_index", "left")
+    return j.select("shard_index", "source_start", "source_end", (first | F.coalesce(F.col("source_start") == F.col("_end"), F.lit(False))).alias("contiguous"), (first | F.col("_end").isNotNull()).alias("in_sequence"))
+
+
 def conservation(rows: DataFrame) -> DataFrame:
     """input = kept + removed, and kept = the sum over splits."""
     a = rows.agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("removed"), F.count("split").alias("in_splits"))

@@ -165,8 +165,9 @@ def _packed(df: DataFrame, tokens: str, order: str, target: int, key: str | None
     d = d if key else d.withColumn("_key", F.lit(0))
     k = key or "_key"
     kind = d.schema[k].dataType.simpleString()
-    total = df.agg(F.sum(F.col(tokens).cast("bigint"))).first()[0] or 0
-    rows = written(ranged(d, order, min(MOST_RANGES, max(1, total // (SHARDS * target)))), "ranges")
+    d = written(d, "sizes")  # narrow, and read four times
+    total = d.agg(F.sum("_v")).first()[0] or 0
+    rows = ranged(d, order, min(MOST_RANGES, max(1, total // (SHARDS * target))))
 
     def transfer(group: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         v = t.sort_by(order).column("_v").to_numpy()

@@ -122,7 +122,7 @@ _REC = corpus_sql()
 
 @query(f"WITH RECURSIVE {_REC}{_FOLD} SELECT source_ord, n AS packed_tokens, shard_index FROM fold")
 def shard_pack_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return C.sharded(C.corpus(raw(spark, d), text=False), 20_000).select("source_ord", "packed_tokens", "shard_index")
+    return C.sharded(written(C.corpus(raw(spark, d), text=False), "corpus"), 20_000).select("source_ord", "packed_tokens", "shard_index")
 
 
 @query(f"""WITH RECURSIVE {_REC}{_FOLD}, s AS (SELECT c.*, f.shard_index FROM corpus c JOIN fold f USING (source_ord)),
@@ -137,8 +137,7 @@ def shard_metadata(spark: SparkSession, d: str) -> DataFrame:
 SELECT shard_index, a AS source_start, b AS source_end, coalesce(a = lag(b) OVER (ORDER BY shard_index), true) AS contiguous, row_number() OVER (ORDER BY shard_index) - 1 = shard_index AS in_sequence FROM m""")
 def shard_contiguity(spark: SparkSession, d: str) -> DataFrame:
     m = C.shard_metadata(C.sharded(written(C.corpus(raw(spark, d), text=False), "corpus"), 20_000))
-    w = Window.orderBy("shard_index")  # one row per storage shard
-    return m.select("shard_index", "source_start", "source_end", F.coalesce(F.col("source_start") == F.lag("source_end").over(w), F.lit(True)).alias("contiguous"), (F.row_number().over(w) - 1 == F.col("shard_index")).alias("in_sequence"))
+    return C.contiguity(written(m, "shards"))
 
 
 @query(f"WITH {corpus_sql()}, a AS (SELECT count(*) AS input, count(*) FILTER (WHERE reason IS NULL) AS kept, count(reason) AS removed, count(split) AS in_splits FROM corpus) SELECT *, input = kept + removed AS rows_conserved, kept = in_splits AS splits_conserved FROM a")
