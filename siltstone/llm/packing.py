@@ -34,20 +34,23 @@ class Packing:
     proven: bool
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, count: np.ndarray | None = None) -> int:
     """Containers that any packing needs: for each k, items over capacity - k stand alone, those over half the capacity
-    take one each, and what of the items of at least k doesn't fit beside the latter needs containers of its own."""
-    if not len(sizes):
+    take one each, and what of the items of at least k doesn't fit beside the latter needs containers of its own.
+
+    With ``count``, sizes are the different sizes, rising, and count says how many items of each there are.
+    """
+    v, n = np.unique(sizes, return_counts=True) if count is None else (sizes, count)
+    if not len(v):
         return 0
-    v = np.sort(sizes)
-    total = np.concatenate([[0], np.cumsum(v)])
-    half = int(np.searchsorted(v, capacity // 2, side="right"))  # first item over half the capacity
-    k = np.concatenate([[0], np.unique(v[:half])])
+    items, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(v * n)])
+    half = int(np.searchsorted(v, capacity // 2, side="right"))  # the first size over half the capacity
+    k = np.concatenate([[0], v[:half]])
     alone = np.searchsorted(v, capacity - k, side="right")
-    least = np.searchsorted(v, k, side="left")
-    beside = (alone - half) * capacity - (total[alone] - total[half])
+    least = np.maximum(np.arange(-1, half), 0)  # the first size of at least k
+    beside = (items[alone] - items[half]) * capacity - (total[alone] - total[half])
     need = np.maximum(0, -((beside - (total[half] - total[least])) // capacity))
-    return int((len(v) - half + need).max())
+    return int((items[-1] - items[half] + need).max())
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -102,6 +105,7 @@ class _Search:
         self.sizes = sorted(n, reverse=True)
         self.count = [n[s] for s in self.sizes]
         self.negative = [-s for s in self.sizes]
+        self.rising = np.array(self.sizes[::-1], np.int64)
         self.capacity, self.steps, self.total = capacity, steps, sum(sizes)
 
     def _left(self) -> int:
@@ -169,8 +173,7 @@ class _Search:
                 top = next((i for i, n in enumerate(self.count) if n), None)
                 if top is None:
                     return [[self.sizes[i], *(self.sizes[j] for j in f)] for i, _, f in levels]
-                rest = np.repeat(self.sizes, self.count)
-                fits = len(levels) + lower_bound(rest, self.capacity) <= containers
+                fits = len(levels) + lower_bound(self.rising, self.capacity, np.array(self.count[::-1])) <= containers
                 self.count[top] -= 1
                 levels.append((top, self._fillings(self.capacity - self.sizes[top], spare - wasted) if fits else iter(()), None))
             top, fillings, filling = levels[-1]
