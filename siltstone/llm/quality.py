@@ -30,16 +30,16 @@ _PART = re.compile("['’\\-‐‑]")
 _VOWELS = frozenset("aeiouyæœøıəɛɔ" "аеиоуыэюяієѣўөү" "αεηιουω")
 # Closed-class words of further languages, beside the table of common words.
 CLOSED = {
-    "ar": "في من على إلى أن كان هذا هذه التي الذي لم لا ما هو هي عن مع كل بعد ثم",
+    "ar": "في من على إلى أن كان هذا هذه التي الذي لم لا ما هو هي عن مع بعد",
     "cs": "se na že je v to jako ale které jsou byl podle",
-    "el": "και το η ο να του της τα την των με που από για δεν είναι στο στη ένα μια τον",
+    "el": "και το η ο να του της τα την των με που από για δεν είναι στο",
     "fi": "ja on ei että se oli hän mutta kun jos niin kuin",
     "he": "של את על לא הוא היא כי גם עם זה אל היה",
     "hu": "a az és hogy nem is egy volt ez de mert csak már még meg aki ha után",
-    "it": "il di che la è un per non una sono con del della ma come più nel gli",
-    "nl": "de het een van en dat niet is op te met voor er maar die aan",
+    "it": "il di che la è un per non una sono con del ma come più nel",
+    "nl": "de het een van en dat niet is op te met voor er maar die",
     "pl": "i w się na nie że do to jest z jak był ale po",
-    "pt": "o de que e do da em um para não uma os com mais como mas",
+    "pt": "o de que e do da em um para não uma os com mas",
     "ro": "și în de la cu nu că este pe un o care din",
     "sv": "och att det som en på är av för med den till inte",
     "tr": "bir ve bu da de için ile çok ne ama daha olan gibi",
