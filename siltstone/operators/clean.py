@@ -94,12 +94,33 @@ def corpus(raw: DataFrame, cfg: CleanConfig | None = None, text: bool = True) ->
     return with_split(keep_first(written(j if text else j.drop("text"), "judged")), cfg)
 
 
+def kept_records(judged_rows: DataFrame, cfg: CleanConfig) -> DataFrame:
+    """The records that deduplication keeps, without their texts, for counts: (text_sha256, source_ord, provided_token_count, characters, reason, split).
+
+    One aggregation by digest, with no join back: the first row of a digest brings its own columns along.
+    """
+    first = F.min_by(F.struct("source_ord", "provided_token_count", "characters"), "source_ord").alias("f")
+    k = judged_rows.where("reason is null").groupBy("text_sha256").agg(first).select("text_sha256", "f.*", F.lit(None).cast("string").alias("reason"))
+    return with_split(k, cfg)
+
+
+def removal_totals(judged_rows: DataFrame) -> DataFrame:
+    """removal_counts of rows before deduplication: kept ones are the different digests, the other rows without a reason are duplicates.  One pass, two small shuffles."""
+    per = judged_rows.groupBy("reason", F.when(F.col("reason").isNull(), F.col("text_sha256")).alias("_d")).agg(F.count(F.lit(1)).alias("n"))
+    a = per.groupBy("reason").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    kept, twice = F.struct(F.lit("kept").alias("reason"), F.col("d").alias("records")), F.struct(F.lit(REASONS[6]).alias("reason"), (F.col("n") - F.col("d")).alias("records"))
+    parts = F.when(F.col("reason").isNull(), F.array(kept, twice)).otherwise(F.array(F.struct("reason", F.col("n").alias("records"))))
+    return _over_domain(a.select(F.explode(parts).alias("x")).select("x.*"))
+
+
 def removal_counts(rows: DataFrame) -> DataFrame:
     """Rows by reason, with every reason of the domain and kept, zeros included."""
-    spark = rows.sparkSession
-    domain = spark.createDataFrame([(i, r) for i, r in enumerate(["kept", *REASONS])], "n int, reason string")
-    n = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("records"))
-    return F.broadcast(domain).join(n, "reason", "left").select("reason", F.coalesce("records", F.lit(0)).alias("records"))
+    return _over_domain(rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("records")))
+
+
+def _over_domain(counts: DataFrame) -> DataFrame:
+    domain = counts.sparkSession.createDataFrame([(r,) for r in ["kept", *REASONS]], "reason string")
+    return F.broadcast(domain).join(counts, "reason", "left").select("reason", F.coalesce("records", F.lit(0)).alias("records"))
 
 
 def split_totals(rows: DataFrame) -> DataFrame:
@@ -115,6 +136,12 @@ def retention(rows: DataFrame, digits: int = 8) -> DataFrame:
     return a.select("input", "kept", F.when(F.col("input") == 0, F.lit(0.0)).otherwise(F.round(F.col("kept") / F.col("input"), digits)).alias("retention_rate"))
 
 
+def retained(totals: DataFrame, digits: int = 8) -> DataFrame:
+    """retention of the counts that removal_totals gives."""
+    a = totals.agg(F.sum("records").alias("input"), F.sum(F.when(F.col("reason") == "kept", F.col("records"))).alias("kept"))
+    return a.select("input", "kept", F.when(F.col("input") == 0, F.lit(0.0)).otherwise(F.round(F.col("kept") / F.col("input"), digits)).alias("retention_rate"))
+
+
 def split_overlap(rows: DataFrame) -> DataFrame:
     """Digests of kept rows that occur in more than one split."""
     n = rows.where("reason is null").groupBy("text_sha256").agg(F.count_distinct("split").alias("splits"))

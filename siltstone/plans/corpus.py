@@ -71,12 +71,12 @@ def clean_reason_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql()} SELECT dom.reason, count(c.source_ord) AS records FROM {REASON_DOMAIN} LEFT JOIN corpus c ON coalesce(c.reason, 'kept') = dom.reason GROUP BY 1")
 def removal_counts(spark: SparkSession, d: str) -> DataFrame:
-    return C.removal_counts(C.corpus(raw(spark, d), text=False))
+    return C.removal_totals(C.judged(raw(spark, d), C.CleanConfig()))
 
 
 @query(f"WITH {corpus_sql()} SELECT count(*) AS input, count(*) FILTER (WHERE reason IS NULL) AS kept, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE reason IS NULL) / count(*), 8) END AS retention_rate FROM corpus")
 def retention_rate(spark: SparkSession, d: str) -> DataFrame:
-    return C.retention(C.corpus(raw(spark, d), text=False))
+    return C.retained(C.removal_totals(C.judged(raw(spark, d), C.CleanConfig())))
 
 
 @query(f"WITH {corpus_sql()} SELECT source_ord, text_sha256, reason FROM corpus WHERE reason IS NULL OR reason = 'exact_duplicate'")
@@ -98,7 +98,8 @@ def split_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql()} SELECT dom.split, count(c.source_ord) AS records, coalesce(sum(provided_token_count), 0)::BIGINT AS tokens, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM {SPLIT_DOMAIN} LEFT JOIN corpus c ON c.split = dom.split GROUP BY 1")
 def split_totals(spark: SparkSession, d: str) -> DataFrame:
-    return C.split_totals(C.corpus(raw(spark, d), text=False))
+    cfg = C.CleanConfig()
+    return C.split_totals(C.kept_records(C.judged(raw(spark, d), cfg), cfg))
 
 
 @query("SELECT text_sha256, count(DISTINCT split) AS splits FROM (SELECT sha256(text) AS text_sha256, split FROM clean_records) GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -109,7 +110,8 @@ def split_disjoint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus_sql()}, k AS (SELECT source_ord, provided_token_count, coalesce(sum(provided_token_count) OVER (ORDER BY source_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tokens_before FROM corpus WHERE reason IS NULL) SELECT * FROM k WHERE tokens_before < 100000")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    kept = written(C.corpus(raw(spark, d), text=False).where("reason is null").select("source_ord", "provided_token_count"), "kept")
+    cfg = C.CleanConfig()
+    kept = written(C.kept_records(C.judged(raw(spark, d), cfg), cfg).select("source_ord", "provided_token_count"), "kept")
     return ordered.budget_prefix(kept, "provided_token_count", "source_ord", 100_000)
 
 
