@@ -19,7 +19,7 @@ class Store:
     """Documents, renames and listings on the driver, in whatever file system a path names."""
 
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(str(path))
@@ -87,11 +87,16 @@ class Store:
             out.write(bytearray(data))
         finally:
             out.close()
-        fs.delete(p, False)
-        if not fs.rename(temp, p):
-            raise RuntimeError(f"{path} can't be written")
+        self._replace(temp, p)
         return True
 
+    def _replace(self, old, new) -> None:
+        """A rename over what is there, in one step where the file system can do that (local ones and Hadoop's can)."""
+        how = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        options = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = how
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self._conf).rename(old, new, options)
+
 
 def file_system(folder: str) -> tuple[afs.FileSystem, str]:
     """File system and path for a task; a path without a scheme is a local one."""
