@@ -116,21 +116,46 @@ def longest_repeat(tokens: Column, most: int = 32) -> Column:
     return F.coalesce(F.array_max(hits), F.lit(0))
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
 def _longest(t: np.ndarray) -> int:
-    """Longest run that occurs twice: ranks of runs by doubling, then the greatest length by its bits."""
-    ranks = [np.unique(t, return_inverse=True)[1].astype(np.int64)]  # of runs of 1, 2, 4, ... tokens
-    while len(np.unique(ranks[-1])) < len(ranks[-1]):
-        r, step = ranks[-1], 1 << len(ranks) - 1
-        if len(r) <= step:
+    """Longest run that occurs twice: keys of runs of 1, 2, 4, ... tokens by doubling, then the greatest length by its bits.
+
+    Runs of up to four tokens have their tokens side by side in a number as a key; longer ones have ranks.
+    """
+    n = len(t)
+    t = t.astype(np.int64)
+    if n < 2:
+        return 0
+    if t.min() < 0 or int(t.max()) + 1 >= 1 << 15:
+        t = _ranks(t)
+    width = int(t.max()) + 1
+    keys, bound = [t], [width]  # by level: of runs of 1, 2, 4, ... tokens, and their number
+    while len(keys) < 3 and bound[-1] ** 2 < 1 << 61 and len(keys[-1]) > 1 << len(keys) - 1:
+        k, step = keys[-1], 1 << len(keys) - 1
+        keys.append(k[:-step] * bound[-1] + k[step:])
+        bound.append(bound[-1] ** 2)
+    while len(keys[-1]) > 1 << len(keys) - 1:
+        r = _ranks(keys[-1])
+        if r.max() + 1 == len(r):
             break
-        ranks.append(np.unique(r[:-step] * (len(t) + 1) + r[step:], return_inverse=True)[1].astype(np.int64))
-    best, run = 0, np.zeros(len(t), np.int64)  # run: ranks of the runs of best tokens
-    for j in reversed(range(len(ranks))):
-        n = len(t) - best - (1 << j) + 1
-        if n > 1:
-            longer = np.unique(run[:n] * (len(t) + 1) + ranks[j][best : best + n], return_inverse=True)[1].astype(np.int64)
-            if longer.max() + 1 < n:
-                best, run = best + (1 << j), longer
+        keys[-1], bound[-1] = r, int(r.max()) + 1
+        step = 1 << len(keys) - 1
+        keys.append(r[:-step] * bound[-1] + r[step:])
+        bound.append(bound[-1] ** 2)
+    best, run, runs = 0, np.zeros(n, np.int64), 1  # run: ranks of the runs of best tokens
+    for j in reversed(range(len(keys))):
+        m = n - best - (1 << j) + 1
+        if m > 1:
+            k, b = keys[j], bound[j]
+            if runs * b >= 1 << 62:
+                k = _ranks(k)
+                b = int(k.max()) + 1
+            longer = _ranks(run[:m] * b + k[best : best + m])
+            if longer.max() + 1 < m:
+                best, run, runs = best + (1 << j), longer, int(longer.max()) + 1
     return best
 
 

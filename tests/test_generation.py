@@ -26,8 +26,8 @@ def test_longest_repeat_of_whole_lists(spark):
 def test_queries_read_whole_texts(spark, sf):
     rows = [r for r in spark.read.parquet(f"{sf}/clean_records.parquet").collect() if r["text"] is not None]
     want = {r["record_no"]: longest([100 + ord(c) % 97 for c in r["text"]] + [1]) for r in rows if r["split"] is not None}
-    assert {r["record_no"]: r["longest"] for r in QUERIES["generation_longest_repeat_whole"](spark, sf).collect()} == want
-    got = {r["record_no"]: r for r in QUERIES["generation_diversity_whole"](spark, sf).collect()}
+    assert {r["record_no"]: r["longest"] for r in QUERIES["generation_longest_repeat"](spark, sf).collect()} == want
+    got = {r["record_no"]: r for r in QUERIES["generation_diversity"](spark, sf).collect()}
     assert len(got) == len(rows)
     for r in rows:
         ids = [len(w) * 31 + ord((w + "a")[0]) % 7 for w in r["text"].lower().split(" ")]
