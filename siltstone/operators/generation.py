@@ -104,18 +104,6 @@ def sample_plan(prompts: DataFrame, decodings: DataFrame) -> DataFrame:
     return x.select((F.col("_p") * n + F.col("_r")).alias("sample_index"), "prompt_id", "decoding_id")
 
 
-def longest_repeat(tokens: Column, most: int = 32) -> Column:
-    """Length of the longest run of tokens that occurs twice (possibly overlapping), up to ``most``; 0 if none does."""
-    size = F.size(tokens)
-
-    def repeated(n: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n))
-        return (size > n) & (F.size(F.array_distinct(grams)) < F.size(grams))
-
-    hits = F.filter(F.sequence(F.lit(1), F.lit(most)), repeated)
-    return F.coalesce(F.array_max(hits), F.lit(0))
-
-
 def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
