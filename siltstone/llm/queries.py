@@ -109,7 +109,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_search(spark: SparkSession, d: str) -> DataFrame:
     """Blocks, proofs, containers against best fit and bound, and steps of the search, by profile."""
-    return packing.search_report(tokenize.token_counts(_documents(spark, d)), read(spark, d, "pack_profiles"))
+    return packing.search_report(written(tokenize.token_counts(_documents(spark, d)), "sizes"), read(spark, d, "pack_profiles"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
