@@ -218,7 +218,10 @@ def _neighbours(docs: DataFrame, value: Column) -> DataFrame:
 
 @query(f"{_PAIR} SELECT record_no, CASE WHEN list_position(list_transform(range(1, m + 1), lambda i: x[i] IS DISTINCT FROM y[i]), true) > 0 THEN list_position(list_transform(range(1, m + 1), lambda i: x[i] IS DISTINCT FROM y[i]), true) - 1 WHEN na <> nb THEN m END AS first_divergence FROM p")
 def array_first_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(_docs(spark, d), F.col("tokens")).select("record_no", T.first_divergence(F.col("x"), F.col("y")).alias("first_divergence"))
+    """Texts are joined, which are shorter than their id lists; both are tokenized after the join."""
+    pairs = _neighbours(clean(spark, d).where("text is not null and split is not null"), F.col("text"))
+    ids = pairs.select("record_no", K.code_point_ids(F.col("x")).alias("x"), K.code_point_ids(F.col("y")).alias("y"))
+    return ids.select("record_no", T.first_divergence(F.col("x"), F.col("y")).alias("first_divergence"))
 
 
 @query(f"{_PAIR} SELECT record_no, len(list_intersect(list_sort(list_distinct(x), 'DESC')[1:5], list_sort(list_distinct(y), 'DESC')[1:5]))::INT AS overlap FROM p")

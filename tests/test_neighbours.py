@@ -10,7 +10,7 @@ from siltstone.operators import validate as V
 from siltstone.plans.catalogue import QUERIES
 
 
-@pytest.mark.parametrize("name", ["ablation_contract_check", "config_diff", "held_constants", "topk_overlap"])
+@pytest.mark.parametrize("name", ["ablation_contract_check", "config_diff", "held_constants", "topk_overlap", "array_first_divergence"])
 def test_nothing_is_broadcast(spark, sf, name):
     """Estimates from compressed files let Spark broadcast whole tables, which the driver then held."""
     assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
